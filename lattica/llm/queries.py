@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, rules, toxicity
+from . import bpe, mixing, quality, rules, sharding, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,8 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": _labelled(toxicity.op3),
         "op5_rules": _documents(rules.op5),
         "op7_bpe": _documents(bpe.op7),
+        "op8_sharding": _documents(sharding.op8),
+        "op10_mixing": _documents(mixing.op10),
     }
 
 
