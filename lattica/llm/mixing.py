@@ -6,8 +6,8 @@ inclusion probability.  The flight phase moves the probabilities of three
 documents at a time along the one direction that keeps both the tokens and the
 number of documents, until one of them is 0 or 1.  It runs in blocks; what a
 block leaves, two documents or less, flies on with what other blocks left,
-until a source has one block.  The landing decides its last dozen, the
-shortest among them, by the rounding that errs least.
+until a source has one block.  The landing decides its last dozen, of
+all lengths, by the rounding that errs least.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .common import WORD, cut
 WEIGHTS, SHARE, COPIES = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of a block, and sources up to which their table is broadcast.
 BLOCK, SOURCES = 512, 10_000
-#: Shortest documents of a source that the landing decides, with the two or less that flight leaves.
-LANDING = 10
+#: Documents of a source, of all lengths, that the landing decides with the two or less that flight leaves.
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -99,8 +99,11 @@ _FLOWN = T.StructType([T.StructField(*x) for x in (("doc_id", T.LongType()), ("s
 
 def _flight(level: int, last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        # Long documents are decided first, so what is left for the landing is short.
         frame = frame.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
+        if last:
+            # Long documents are decided first; one of each length waits for the landing.
+            wait = {round(i) for i in np.linspace(0, len(frame) - 1, min(LANDING, len(frame)))}
+            frame = frame.iloc[[*(i for i in range(len(frame)) if i not in wait), *sorted(wait)]]
         source, block = frame["source"].iloc[0], int(frame["block"].iloc[0])
         rng = random.Random(zlib.crc32(f"{source}|{block}|{level}".encode()))
         sizes, chance = frame["size"].tolist(), frame["chance"].tolist()
