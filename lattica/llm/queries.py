@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, rules, sharding, toxicity
+from . import bpe, fingerprint, mixing, quality, rules, sharding, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,11 @@ def _labelled(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_fingerprint": _documents(fingerprint.op1),
         "op2_quality": _labelled(quality.op2),
         "op3_toxicity": _labelled(toxicity.op3),
         "op5_rules": _documents(rules.op5),
+        "op6_wavelet": _documents(wavelet.op6),
         "op7_bpe": _documents(bpe.op7),
         "op8_sharding": _documents(sharding.op8),
         "op10_mixing": _documents(mixing.op10),
