@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, quality, rules, sharding, toxicity, wavelet
+from . import bpe, fingerprint, jaccard, mixing, quality, rules, sharding, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op1_fingerprint": _documents(fingerprint.op1),
         "op2_quality": _labelled(quality.op2),
         "op3_toxicity": _labelled(toxicity.op3),
+        "op4_jaccard": _documents(jaccard.op4),
         "op5_rules": _documents(rules.op5),
         "op6_wavelet": _documents(wavelet.op6),
         "op7_bpe": _documents(bpe.op7),
