@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, jaccard, mixing, quality, rules, sharding, toxicity, wavelet
+from . import bpe, fingerprint, html, jaccard, mixing, quality, rules, sharding, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: op(read_table(spark, sf_dir, "documents"))
 
 
+def _pages(op: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: op(read_table(spark, sf_dir, "pages"))
+
+
 def _labelled(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: op(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op6_wavelet": _documents(wavelet.op6),
         "op7_bpe": _documents(bpe.op7),
         "op8_sharding": _documents(sharding.op8),
+        "op9_html": _pages(html.op9),
         "op10_mixing": _documents(mixing.op10),
     }
 
