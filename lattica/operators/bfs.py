@@ -23,7 +23,7 @@ def distances(adj: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None
     reached, hops = frontier, 0
     while True:
         hops += 1
-        step = frontier.join(adj, (frontier.graph_id == adj.graph_id) & (frontier.alias == adj.u)).select(frontier.graph_id, "seed", F.col("v").alias("alias")).distinct()
+        step = frontier.select("graph_id", "seed", F.col("alias").alias("u")).join(adj, ["graph_id", "u"]).select("graph_id", "seed", F.col("v").alias("alias")).distinct()
         frontier = cut(step.join(reached, ["graph_id", "seed", "alias"], "left_anti").withColumn("dist", F.lit(hops)))
         if frontier.isEmpty():
             return reached
