@@ -13,6 +13,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,7 @@ def encode(text: str, enc, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[i
 
 
 def decode(ids: list[int], enc) -> bytes:
+    """The raw bytes of the ids, put together."""
     return b"".join(enc.decode_bytes(ids[i : i + 65536]) for i in range(0, len(ids), 65536))
 
 
@@ -132,9 +134,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 ids_sha.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
                 bytes_sha.append(hashlib.sha256(decode(ids, enc)).hexdigest())
                 if with_ids:
-                    lists.append(ids)
+                    lists.append(np.array(ids, np.int32))
             made = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())]
-            return [pa.array(lists, pa.list_(pa.int32())), *made] if with_ids else made
+            if not with_ids:
+                return made
+            ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+            return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))), *made]
 
         return work
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
+ROWS_A_BATCH = 1000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -123,6 +124,39 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Itera
         at = end
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's generator that, at its end, gives memory that it doesn't use any more back to the machine: worker processes live on."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: unless the session says otherwise, ROWS_A_BATCH of them go to Python at once, not Spark's 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow in small batches, with memory given back at the end of each task."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without columns of these names, whatever their case."""
     taken = {x.lower() for x in names}
@@ -147,7 +181,7 @@ def append_columns(df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch]
                 made = work(part)
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *[f.name for f in fields]])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)
 
 
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

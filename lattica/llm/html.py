@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions_for, slices
+from .common import cut, map_batches, partitions_for, slices
 
 DROP, BODY, ARTICLE = 0, 1, 2
 
@@ -253,7 +253,7 @@ def _parse(pages: DataFrame, with_texts: bool) -> DataFrame:
                     texts.append([t if z else "" for z, t in lines] if with_texts else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(zones, pa.binary()), pa.array(hashes, pa.binary()), pa.array(texts, pa.list_(pa.string()))], names=_PARSED.names)
 
-    return rows.mapInArrow(run, _PARSED)
+    return map_batches(rows, run, _PARSED)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(list(zones.as_py()), lines.as_py(), shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(both, run, "page_id long, url string, text string, n_chars long")
 
 
 def op9(pages: DataFrame) -> DataFrame:

@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_text, partitions_for, shared_path, slices, text_buffer
+from .common import _U64, doc_text, map_batches, mix64, partitions_for, shared_path, slices, span_hashes, text_buffer, word_spans
 
 MAGIC = b"WVLTMX01"
 #: Bits of a plane that are compressed together, and tokens from which a shard's file is closed.
 BLOCK_BITS, SHARD_TOKENS = 1 << 18, 1 << 21
 LEVEL = 1
 END_ID = 2
-#: Words whose ids a task remembers, in each of two generations.
-REMEMBERED = 1 << 18
+#: Pieces whose ids a task remembers; and what the vocabulary writes at the end of a pre-token.
+REMEMBERED, WORD_END = 1 << 20, "</w>"
 
 
 def tokenizer_path() -> str:
@@ -56,9 +56,9 @@ def write_file(ids: np.ndarray, doc_ids: list[int | None], counts: list[int], be
         bit = ((order >> order.dtype.type(k)) & order.dtype.type(1)).astype(bool)
         packed = np.packbits(bit)
         blocks = [packed[i : i + BLOCK_BITS // 8] for i in range(0, len(packed), BLOCK_BITS // 8)]
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BITS), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        ones = np.array([int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks], np.int64)
         data = [comp.compress(b.tobytes()) for b in blocks]
-        heads.append(struct.pack("<q", len(bit) - int(ones.sum())) + np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<i8").tobytes()[: 8 * len(blocks)] + np.array([len(d) for d in data], "<i8").tobytes())
+        heads.append(struct.pack("<q", len(bit) - int(ones.sum())) + (np.cumsum(ones) - ones).astype("<i8").tobytes() + np.array([len(d) for d in data], "<i8").tobytes())
         bodies += data
         order = np.concatenate([order[~bit], order[bit]])
     return b"".join([MAGIC, struct.pack("<7q", 1, planes, len(ids), len(doc_ids), before, len(docs), 0), docs, *heads, *bodies])
@@ -169,39 +169,160 @@ class WaveletFile:
         return out
 
 
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: its class (white space, letter, digit, other), and whether its word must be encoded whole."""
+    kind = np.full(256, OTHER, np.uint8)
+    kind[[0x20, *range(0x09, 0x0E)]] = SPACE
+    kind[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+    kind[128:] = LETTER
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    whole = np.zeros(256, bool)
+    whole[[c for c in (*range(0x20), 0x27, 0x7F) if kind[c] != SPACE]] = True
+    whole[0xC0:] = True
+    whole[[0xC3, 0xC4, 0xC5]] = False
+    return kind, whole
+
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_KIND, _WHOLE = _byte_classes()
+#: Of the two-byte Latin letters these are none, or have no one small letter.
+_NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+
+
+def pre_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and class of the pieces of all texts: runs of letters, single digits, runs of other characters.
+
+    Pieces are pre-tokens of the tokenizer where a word has only ASCII
+    characters and Latin letters, and no apostrophe, which may join letters.
+    Any other word, up to white space, is one piece of class SPACE.
+    """
+    kind = _KIND[buf]
+    new = np.empty(len(buf), bool)
+    new[:1] = True
+    new[1:] = kind[1:] != kind[:-1]
+    new |= kind == DIGIT
+    new[offsets[:-1][offsets[:-1] < len(buf)]] = True
+    slow = _WHOLE[buf]
+    for lead, last in _NO_LETTERS:
+        slow[:-1] |= (buf[:-1] == lead) & (buf[1:] == last)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(buf))
+    kinds = kind[starts]
+    full = kinds != SPACE
+    starts, ends, kinds = starts[full], ends[full], kinds[full]
+    if slow.any():
+        first, last, _ = word_spans(buf, offsets)
+        seen = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(slow, out=seen[1:])
+        odd = seen[last] > seen[first]
+        first, last = first[odd], last[odd]
+        at = np.searchsorted(first, starts, side="right") - 1
+        kept = (at < 0) | (starts >= last[np.maximum(at, 0)]) if len(first) else np.ones(len(starts), bool)
+        starts, ends, kinds = np.concatenate([starts[kept], first]), np.concatenate([ends[kept], last]), np.concatenate([kinds[kept], np.full(len(first), SPACE, np.uint8)])
+        order = np.argsort(starts, kind="stable")
+        starts, ends, kinds = starts[order], ends[order], kinds[order]
+    return starts, ends, kinds
+
+
 class WordEncoder:
-    """Ids of texts, word by word: no token of this tokenizer crosses ASCII white space, which it drops."""
+    """Ids of texts by the tokenizers library, which sees each different piece once and not each occurrence.
+
+    No token crosses white space or the border of a piece, and capitals count
+    as small letters.  Pieces are known again by a 64-bit hash.  New runs of
+    letters are encoded many in one text, and told apart by the ids that end a
+    word; other new pieces one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        if hasattr(self._tokenizer.model, "_resize_cache"):
+            self._tokenizer.model._resize_cache(0)  # each piece is asked for once
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.planes = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2") if self.planes <= 16 else np.dtype("<u4")
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes of `kind`."""
-        words = [t.split() for t in texts]
-        new = set().union(*words).difference(self._young) if words else set()
-        if len(self._young) + len(new) > REMEMBERED:
-            self._old, self._young = self._young, {}
-            new = set().union(*words)
-        unknown = []
-        for w in new:
-            ids = self._old.get(w)
-            if ids is None:
-                unknown.append(w)
-            else:
-                self._young[w] = ids
-        encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in unknown], add_special_tokens=False)
-        for w, e in zip(unknown, encoded, strict=True):
-            self._young[w] = np.array(e.ids, self.kind).tobytes()
-        known = self._young
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        self._ends = np.zeros(size, bool)
+        self._ends[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """What a piece's hash stands for: its number; and by number the place and count of its ids in the pool."""
+        self._number: dict[int, int] = {}
+        self._place, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._pool, self._used = np.zeros(1 << 18, self.kind), 0
+
+    def _learn(self, hashes: list[int], lists: list[np.ndarray]) -> None:
+        n, m = len(self._number), len(hashes)
+        counts = np.array([len(x) for x in lists], np.int64)
+        total = int(counts.sum())
+        while n + m > len(self._place):
+            self._place, self._count = np.concatenate([self._place, self._place]), np.concatenate([self._count, self._count])
+        while self._used + total > len(self._pool):
+            self._pool = np.concatenate([self._pool, self._pool])
+        if m:
+            self._pool[self._used : self._used + total] = np.concatenate(lists)
+            self._place[n : n + m] = self._used + np.cumsum(counts) - counts
+            self._count[n : n + m] = counts
+            self._used += total
+            self._number.update(zip(hashes, range(n, n + m), strict=True))
+
+    def _letters(self, pieces: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            e = self._tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0]
+            ids = np.array(e.ids, self.kind)
+            stops = np.flatnonzero(self._ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("a run of letters is not one pre-token")
+            a = 0
+            for b in stops.tolist():
+                out.append(ids[a:b])
+                a = b
+        return out
+
+    def _others(self, pieces: list[bytes]) -> list[np.ndarray]:
+        encoded = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, self.kind) for e in encoded]
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has."""
+        import pandas as pd
+
+        starts, ends, kinds = pre_tokens(buf, offsets)
+        hashes = mix64(span_hashes(buf, starts, ends, fold=True) + kinds.astype(_U64))
+        codes, unique = pd.factorize(hashes)
+        if len(self._number) + len(unique) > REMEMBERED:
+            self._forget()
+        known = [self._number.get(h, -1) for h in unique.tolist()]
+        numbers = np.array(known, np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            at = first[new]
+            data = buf.tobytes()
+            texts = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            letters = kinds[at] == LETTER
+            for some, encode in ((letters, self._letters), (~letters, self._others)):
+                where = np.flatnonzero(some)
+                numbers[new[where]] = np.arange(len(self._number), len(self._number) + len(where))
+                self._learn([int(h) for h in unique[new[where]]], encode([texts[k] for k in where.tolist()]))
+        number = numbers[codes]
+        counts = self._count[number]
+        stops = np.cumsum(counts)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self._pool[np.repeat(self._place[number] - (stops - counts), counts) + np.arange(total)]
+        upto = np.append(0, stops)[np.searchsorted(starts, offsets)]
+        return ids, np.diff(upto)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker process, with what it remembers."""
+    return WordEncoder(path)
 
 
 _FILES = T.StructType([T.StructField(*x) for x in (("range_key", T.LongType()), ("first_doc", T.LongType()), ("n_tokens", T.LongType()), ("n_docs", T.LongType()), ("file", T.BinaryType()))])
@@ -222,17 +343,15 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        enc = WordEncoder(path)
-        end = np.array([end_id], enc.kind).tobytes()
-        width = enc.kind.itemsize
-        parts: list[bytes] = []
+        enc = word_encoder(path)
+        parts: list[np.ndarray] = []
         ids: list[int | None] = []
         counts: list[int] = []
         first, before, held = None, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal before, held
-            data = write_file(np.frombuffer(b"".join(parts), enc.kind), ids, counts, before, enc.planes)
+            data = write_file(np.concatenate(parts), ids, counts, before, enc.planes)
             row = [[first], [lowest if ids[0] is None else ids[0]], [held], [len(ids)], [data]]
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_FILES.names)
             before, held = before + held, 0
@@ -242,25 +361,24 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID
 
         for batch in batches:
             for part in slices(batch, "text"):
-                buf, offsets = text_buffer(part.column(1))
-                data = buf.tobytes()
-                texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                for doc_id, encoded in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    if first is None:
-                        first = lowest if doc_id is None else doc_id
-                    n = len(encoded) // width + 1
-                    parts += (encoded, end)
-                    ids.append(doc_id)
-                    counts.append(n)
-                    held += n
-                    if held >= SHARD_TOKENS:
-                        yield close()
+                encoded, sizes = enc.encode(*text_buffer(part.column(1)))
+                # The end id of each document goes behind its ids.
+                stops = np.cumsum(sizes)
+                parts.append(np.insert(encoded, stops, enc.kind.type(end_id)))
+                own = part.column(0).to_pylist()
+                if first is None:
+                    first = lowest if own[0] is None else own[0]
+                ids += own
+                counts += (sizes + 1).tolist()
+                held += len(encoded) + len(own)
+                if held >= SHARD_TOKENS:
+                    yield close()
         if ids:
             yield close()
 
     rows = doc_text(docs)
     ordered = rows.repartitionByRange(partitions_for(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ordered.mapInArrow(run, _FILES)
+    return map_batches(ordered, run, _FILES)
 
 
 _DOCS = T.StructType([T.StructField(*x) for x in (("range_key", T.LongType()), ("doc_id", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType()))])
@@ -284,7 +402,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=_DOCS.names)
 
-    return files.select("range_key", "file").mapInArrow(run, _DOCS)
+    return map_batches(files.select("range_key", "file"), run, _DOCS)
 
 
 def op6(docs: DataFrame, path: str | None = None) -> DataFrame:
