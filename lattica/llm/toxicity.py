@@ -119,7 +119,7 @@ def _rows(sets: list[set[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(len(sets)), [len(c) for c in cols]), np.array([x for c in cols for x in c], dtype=np.int64)
 
 
-def fit_from_sample(sample: list[tuple[int, int, list[str]]], counts: dict[int, int], steps: int = 300) -> ToxicityModel:
+def fit_from_sample(sample: list[tuple[int, int, list[str]]], counts: dict[int, int], steps: int = 400) -> ToxicityModel:
     """Accelerated proximal gradient on log loss + CHANGE * mean squared score change + SPARSE * sum of |weights|."""
     docs = [(y, [words_of(s) for p in parts for s in re.split(r"[.!?\n]+", p)]) for _, y, parts in sample]
     sets = [features_of({w for s in sentences for w in s}) for _, sentences in docs]
@@ -144,9 +144,23 @@ def fit_from_sample(sample: list[tuple[int, int, list[str]]], counts: dict[int,
     row_b, col_b = _rows([features_of(p[1]) for p in pairs], ids)
     weight = np.where(y == 1, counts.get(1, size[1]) / size[1], counts.get(0, size[0]) / size[0]) / total
     n, m, d = len(y), max(1, len(pairs)), len(ids)
-    degree = np.maximum(1, np.bincount(row, minlength=n))
-    # Each document's words share a step bound: weights move by at most 1 / (curvature).
-    step = 1.0 / (0.25 * float((weight * degree).sum()) + 2 * CHANGE * 2 + 1e-9)
+
+    def curved(x: np.ndarray, shift: float) -> tuple[np.ndarray, float]:
+        """The loss's greatest curvature, applied to a direction."""
+        pull = 0.25 * weight * (np.bincount(row, weights=x[col], minlength=n) + shift)
+        out = np.bincount(col, weights=pull[row], minlength=d)
+        if pairs:
+            change = (np.bincount(row_a, weights=x[col_a], minlength=m) - np.bincount(row_b, weights=x[col_b], minlength=m)) * (2 * CHANGE / m)
+            out += np.bincount(col_a, weights=change[row_a], minlength=d) - np.bincount(col_b, weights=change[row_b], minlength=d)
+        return out, float(pull.sum())
+
+    # The step is the inverse of the greatest curvature, found by power iteration from a fixed start.
+    x, shift, curvature = np.ones(d), 1.0, 1.0
+    for _ in range(30):
+        x, shift = curved(x, shift)
+        curvature = float(np.sqrt((x * x).sum() + shift * shift)) or 1.0
+        x, shift = x / curvature, shift / curvature
+    step = 1.0 / (1.1 * curvature)
     w, b, v, vb, t = np.zeros(d), prior, np.zeros(d), prior, 1.0
     for _ in range(steps):
         z = np.bincount(row, weights=v[col], minlength=n) + vb
@@ -156,9 +170,9 @@ def fit_from_sample(sample: list[tuple[int, int, list[str]]], counts: dict[int,
             change = np.bincount(row_a, weights=v[col_a], minlength=m) - np.bincount(row_b, weights=v[col_b], minlength=m)
             change *= 2 * CHANGE / m
             grad += np.bincount(col_a, weights=change[row_a], minlength=d) - np.bincount(col_b, weights=change[row_b], minlength=d)
-        new = v - step * 60 * grad
-        new = np.sign(new) * np.maximum(0, np.abs(new) - step * 60 * SPARSE)
-        new_b = vb - step * 60 * float(g.sum())
+        new = v - step * grad
+        new = np.sign(new) * np.maximum(0, np.abs(new) - step * SPARSE)
+        new_b = vb - step * float(g.sum())
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / nt * (new - w), new_b + (t - 1) / nt * (new_b - b)
         w, b, t = new, new_b, nt
