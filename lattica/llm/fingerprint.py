@@ -20,7 +20,7 @@ from .common import cut, partitions_for
 #: A hash that ends a section: one of 32 in 256 first bytes, or that of an empty line.
 SECTION_END = r"(?m)^(?:[01][0-9a-f]{63}|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$"
 #: A piece: up to five words of one line, no further than the end of a sentence; long words are cut.
-PIECE = r"(?:[^\s.!?]{1,48}[ \t]+){0,4}[^\s.!?]{1,48}[.!?]*|[.!?]+"
+PIECE = r"(?:[^ \t\n\x0B\f\r.!?]{1,48}[ \t]+){0,4}[^ \t\n\x0B\f\r.!?]{1,48}[.!?]*|[.!?]+"
 _LOWEST = -(1 << 63)
 
 

@@ -176,15 +176,15 @@ def apply_mix(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs, each as often as decided; rows alike in id, source and size share their copies in text order."""
     key = ["__id", "__source", "__size"]
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    names = list(docs.columns)
-    left = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), size.alias("__size"), *[F.col(f"`{c}`") for c in names])
+    # The row travels as one struct, so no column of docs can clash with the keys.
+    left = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), size.alias("__size"), F.xxhash64("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     right = decisions.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     right = right.where("__copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__copies", "__rows")
     both = left.join(right, F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("__text"))
     own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(turn <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
     taken = both.withColumn("__own", own).where("__own > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("__own").cast("int"))).alias("__copy")).drop("__copy")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int")))).select("__row.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -89,9 +89,8 @@ def measure_batch(text: pa.Array) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(buf == 0x0A)
     head = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], breaks + 1]))
     head = head[head < len(buf)]
-    tail = np.minimum(np.append(head[1:], len(buf)), len(buf))
-    ended = buf[tail - 1] == 0x0A if len(tail) else np.zeros(0, bool)
-    tail = tail - ended
+    tail = np.append(head[1:], len(buf))[: len(head)]
+    tail = tail - (buf[tail - 1] == 0x0A)
     line_row = np.searchsorted(offsets, head, side="right") - 1
     full = np.searchsorted(starts, tail) > np.searchsorted(starts, head)
     head, tail, line_row = head[full], tail[full], line_row[full]
