@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links, 16 bytes each, up to which one task finds the components.
+ONE_TASK = 1_000_000
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): the least id that links reach, for every id that has one.
 
-    links has a and b.  In a round each id points at its least neighbour, the
+    links has a and b.  A table counted to have at most one_task links goes to
+    one task; a larger one is contracted.
+    """
+    links = links.where("a <> b").select("a", "b")
+    if links.count() > one_task:
+        return contracted(links)
+    return cut(links.groupBy(F.lit(0).alias("all")).applyInPandas(_united, "id long, component long"))
+
+
+def _united(frame: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    return pd.DataFrame({"id": ids, "component": [find(x) for x in ids]}, dtype="int64")
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """The same by contraction, for any number of links.  In a round each id points at its least neighbour, the
     pointers are followed, and links between what they end at go on to the next
     round.  Every round at least halves the ids that still have links.  What is
     moved are pairs of longs; nothing but a count comes to the driver.
