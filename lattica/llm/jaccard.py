@@ -8,14 +8,15 @@ behind them, must add up to the overlap that the sizes demand.
 
 1. Tokens are counted in a table of fixed size, and frequent ones come last in
    every order; within a class of frequency each order has its own hash.
-2. Prefixes under the first order meet by token.  In each bucket a pivot is
-   paired with the rest, so a bucket of n copies gives n - 1 pairs; pairs that
-   pass the filters under both orders are verified on whole sets, and linked
+2. Prefixes under the first order meet by token.  In each bucket a few pivots
+   are paired with the rest, so pairs grow as the bucket does; those that pass
+   the filters under both orders are verified on whole sets, and linked
    ones become one component.  Another round has other pivots.
 3. What remains are buckets with several components.  There all pairs of sets
-   in different components are counted, in large buckets only those that meet
-   under the second order too.  So no link between different sets is lost, but
-   those inside a component already known are not looked for.
+   in different components are counted whose parity sketches allow a link: two
+   sets differ in at least as many tokens as their sketches in bits.  So no
+   link between different sets is lost, but those inside a component already
+   known are not looked for.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _U64, cut, doc_text, mix64, shared_path, slices, span_hashes, text_buffer, window_hashes, word_spans
+from .common import _U64, cut, doc_text, map_batches, mix64, shared_path, slices, span_hashes, text_buffer, window_hashes, word_spans
 from .components import components
 
 #: Fixed values of the query: words in a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 4, 85
-#: Rounds of pivots, members of a bucket from which the second order splits it, ids that may be broadcast.
-PIVOTS, LARGE, BROADCAST_IDS = 2, 64, 1_000_000
+#: Rounds of pivots, pivots of a bucket, 64-bit words of a parity sketch, tokens before one that go with it, ids that may be broadcast.
+PIVOTS, FEW, SKETCH, BEFORE, BROADCAST_IDS = 2, 4, 8, 4, 1_000_000
 #: The count table has a power of two of counters, about one for so many tokens, between these bounds.
 A_COUNTER, COUNTERS_LEAST, COUNTERS_MOST, SLICES = 64, 16, 22, 64
 _SEED = (_U64(0xA0761D6478BD642F), _U64(0xE7037ED1A0B428DB))
@@ -116,7 +117,7 @@ def token_classes(docs: DataFrame, size: int = WORDS) -> np.ndarray:
 
     schema = "slice int, counts binary"
     table = np.zeros(m, np.int64)
-    for row in docs.select("text").mapInArrow(count, schema).groupBy("slice").applyInPandas(add, schema).collect():
+    for row in map_batches(docs.select("text"), count, schema).groupBy("slice").applyInPandas(add, schema).collect():
         table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], "<i8")
     mean = max(1.0, table.sum() / m)
     return np.clip(np.floor(np.log2(np.maximum(table / (1.5 * mean), 0.5))) + 1, 0, 31).astype(np.uint8)
@@ -124,12 +125,18 @@ def token_classes(docs: DataFrame, size: int = WORDS) -> np.ndarray:
 
 _SETS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()),
-    T.StructField("first", T.ArrayType(T.LongType())), T.StructField("second", T.BinaryType()),
+    T.StructField("first", T.ArrayType(T.LongType())), T.StructField("second", T.BinaryType()), *[T.StructField(f"p{k}", T.LongType()) for k in range(SKETCH)],
 ])
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each class of token hashes: whether a set has an odd number of it."""
+    odd = np.bincount((mix64(tokens) >> _U64(40)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Each document's set size, its class (equal sets share one), and its prefixes: tokens under the first order, ranks under the second.
+    """Each document's set size, its class (equal sets share one), its prefixes, tokens under the first order and ranks under the second, and its parity sketch.
 
     A task gives the prefixes of a class once.  Sets too small to be linked
     with a different one have none.
@@ -139,15 +146,16 @@ def prefixes(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, ids, first, second = [], [], [], []
-                for tokens in shingle_sets(part.column(1), size):
+                sizes, ids, first, second, sketch = [], [], [], [], []
+                for doc_id, tokens in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size), strict=True):
                     n = len(tokens)
                     cls = int(mix64(np.array([int(mix64(tokens).sum(dtype=_U64)) ^ n], _U64)).view(np.int64)[0]) if n else None
                     sizes.append(n)
                     ids.append(cls)
-                    if cls in seen or 100 * n < percent * (n + 1):
+                    if doc_id is None or cls in seen or 100 * n < percent * (n + 1):
                         first.append(None)
                         second.append(None)
+                        sketch.append([None] * SKETCH)
                         continue
                     if len(seen) >= 1 << 20:
                         seen.clear()
@@ -155,13 +163,14 @@ def prefixes(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
                     p = prefix_size(n, percent)
                     rank = ranked(tokens, classes, 0)
                     near = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
-                    first.append(tokens[near].view(np.int64))
+                    first.append(tokens[near[np.argsort(rank[near])]].view(np.int64))
                     rank = ranked(tokens, classes, 1)
                     rank = np.partition(rank, p - 1)[:p] if p < n else rank
                     second.append((np.sort(rank) >> _U64(32)).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.binary())], names=_SETS.names)
+                    sketch.append(parity(tokens).tolist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.binary()), *[pa.array([x[k] for x in sketch], pa.int64()) for k in range(SKETCH)]], names=_SETS.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SETS)
+    return map_batches(docs.select("doc_id", "text"), run, _SETS)
 
 
 def sizes_match(a: str, b: str, percent: int) -> Column:
@@ -202,12 +211,12 @@ def _filter_second(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             keep = [k for k in range(len(a)) if second_order_allows(np.frombuffer(x[k], "<u4"), np.frombuffer(y[k], "<u4"), n_x[k], n_y[k], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(both, run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose whole sets are as alike as asked.  Only the texts of documents in pairs are read on."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
 
@@ -230,8 +239,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
 
-    values = texts.mapInArrow(sets, "id long, tokens binary")
-    return _attach(pairs, values, ["tokens"]).mapInArrow(run, "a long, b long").distinct()
+    values = map_batches(texts, sets, "id long, tokens binary")
+    return map_batches(_attach(pairs, values, ["tokens"]), run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
@@ -247,32 +256,34 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: int
     at = shared_path(spark, "prefixes")
     prefixes(docs, classes, size, percent).write.parquet(at)
     sets = spark.read.schema(_SETS).parquet(at)
-    # Each class stands for its documents, by the least id.
-    members = sets.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    # Each class has the least id of its documents, and one that its prefixes are written with.
+    members = sets.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("first").isNotNull(), F.col("doc_id"))).alias("lead"), F.max("n_shingles").alias("n"))
     members = cut(members)
     own = Window.partitionBy("token")
     met = sets.where(F.col("first").isNotNull()).select(F.explode("first").alias("token"), "cls")
     met = met.withColumn("__n", F.count("*").over(own)).where("__n > 1").select("token", "cls").distinct()
-    reps = members.where(F.col("rep").isNotNull()).select(F.col("cls").alias("__c"), F.col("rep").alias("id"), "n")
+    reps = members.where(F.col("lead").isNotNull()).select(F.col("cls").alias("__c"), F.col("lead").alias("id"), "n")
     met = cut(met.join(reps, F.col("cls") == F.col("__c")).select("token", "id", F.col("n").cast("int").alias("n")))
-    links = None
-    labels = None
+    links = labels = None
     for k in range(pivots + 1):
         rows = met.withColumn("component", F.col("id")) if labels is None else _labelled(met, labels)
         several = F.min("component").over(own) < F.max("component").over(own)
         rows = rows.withColumn("__several", several).where("__several").drop("__several")
-        pairs = _pivot_pairs(rows, k, percent) if k < pivots else _all_pairs(cut(rows), sets, percent)
-        found = cut(_verify(cut(_filter_second(cut(pairs), sets, percent)), docs, size, percent))
-        if found.isEmpty() and k:
-            continue
+        pairs = _pivot_pairs(rows, k, percent) if k < pivots else _all_pairs(rows, sets, percent)
+        found = cut(_verify(cut(_filter_second(pairs, sets, percent)), docs, size, percent))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     # Documents of one id with different sets are one.
-    again = sets.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull()).groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y")
+    again = sets.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull()).groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select(F.col("doc_id").alias("__d"))
     if not again.isEmpty():
-        other = sets.join(again.select(F.col("doc_id").alias("__d")), F.col("doc_id") == F.col("__d"), "left_semi").join(members.select(F.col("cls").alias("__c"), "rep"), F.col("cls") == F.col("__c"))
-        labels = components(links.unionByName(other.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    named = members.join(labels.select(F.col("id").alias("__i"), "component"), F.col("rep") == F.col("__i"), "left").select(F.col("cls").alias("__c"), F.coalesce("component", "rep").alias("component"))
+        own = sets.join(again, F.col("doc_id") == F.col("__d"), "left_semi").select("doc_id", F.col("cls").alias("__c"))
+        ends = own.join(members.select("cls", "rep", "lead"), F.col("cls") == F.col("__c"))
+        links = links.unionByName(ends.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).unionByName(ends.where("lead IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
+        labels = components(links)
+    place = F.coalesce("lead", "rep")
+    named = members.withColumn("__p", place).join(labels.select(F.col("id").alias("__i"), "component"), F.col("__p") == F.col("__i"), "left").select("cls", "rep", F.coalesce("component", "__p").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(least, "component", "left").select(F.col("cls").alias("__c"), F.coalesce("least", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("__c"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -281,41 +292,47 @@ def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.join(labels.select(F.col("id").alias("__i"), F.col("component").alias("__k")), F.col("id") == F.col("__i"), "left").select("token", "id", "n", F.coalesce("__k", "id").alias("component"))
 
 
-def _ordered(a: str, b: str) -> list[Column]:
+def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _pivot_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """In each bucket, the member that comes first by a hash, with each of another component; pairs that share too few tokens this way wait for the last step."""
-    key = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("component"))
-    paired = rows.withColumn("__p", F.min(key).over(Window.partitionBy("token")))
-    paired = paired.select(F.col("__p.id").alias("p"), F.col("__p.n").alias("p_n"), "id", "n", (F.col("__p.component") != F.col("component")).alias("__other"))
-    counted = paired.where(F.col("__other") & sizes_match("p_n", "n", percent)).groupBy("p", "id", "p_n", "n").agg(F.count("*").alias("common"))
-    return counted.where(enough("common", "p_n", "n", percent)).select(*_ordered("p", "id")).distinct()
+    """In each bucket, the first few members by a hash, each with all of other components; pairs that share too few tokens this way wait for the last step."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    member = F.struct("id", "n", "component")
+    few = F.array(*[F.nth_value(member, k).over(whole) for k in range(1, FEW + 1)])
+    apart = F.filter(F.col("__few"), lambda p: (p["component"] != F.col("component")) & (100 * p["n"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * p["n"]))
+    paired = rows.select("id", "n", "component", few.alias("__few")).select("id", "n", F.explode(apart).alias("p"))
+    met = paired.select(*_ordered(F.col("p.id"), F.col("id")), F.least("p.n", "n").alias("s"), F.greatest("p.n", "n").alias("t"))
+    # Two pivots meet twice in a bucket, which only lets their pair pass more easily.
+    counted = met.groupBy("a", "b", "s", "t").agg(F.count("*").alias("common"))
+    return counted.where(enough("common", "s", "t", percent)).select("a", "b")
 
 
 def _all_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members in different components that share enough tokens; in large buckets they must meet under the second order too."""
-    sized = rows.withColumn("__m", F.count("*").over(Window.partitionBy("token")))
-    small = sized.where(F.col("__m") <= LARGE).select("token", F.lit(0).cast("long").alias("rank"), "id", "n", "component")
-    large = sized.where(F.col("__m") > LARGE).select("token", "id", "n", "component")
-    wanted = large.select("id").distinct()
-    values = sets.where(F.col("second").isNotNull()).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("__d"), "second")
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.unique(np.frombuffer(x.as_py(), "<u4")).astype(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["__d", "ranks"])
-
-    spread = large.join(values.mapInArrow(ranks, "__d long, ranks array<long>"), F.col("id") == F.col("__d")).select("token", F.explode("ranks").alias("rank"), "id", "n", "component")
-    own = Window.partitionBy("token", "rank")
-    spread = spread.withColumn("__s", F.min("component").over(own) < F.max("component").over(own)).where("__s").drop("__s")
-    rows = small.unionByName(spread)
-    left = rows.select("token", "rank", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "component")])
-    right = rows.select("token", "rank", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "component")])
-    met = left.join(right, ["token", "rank"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & sizes_match("a_n", "b_n", percent))
-    counted = met.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count_distinct("token").alias("common"))
-    return counted.where(enough("common", "a_n", "b_n", percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    """All pairs of members in different components that differ in no more tokens than a link may.
+
+    The sketches bound the difference before a pair leaves the join.  A pair
+    leaves it in the bucket of its first common token, and hardly in others: a
+    token is passed over if one of the few before it is common too, since the
+    pair is then met there.
+    """
+    words = [f"p{k}" for k in range(SKETCH)]
+    values = sets.where(F.col("first").isNotNull()).select(F.col("doc_id").alias("__d"), "first", *words)
+    at = F.array_position("first", F.col("token")).cast("int")
+    before = F.slice("first", F.greatest(at - BEFORE, F.lit(1)), F.greatest(F.least(at - 1, F.lit(BEFORE)), F.lit(0)))
+    # Of an id with several sets only those with the token are in its bucket.
+    rows = rows.join(values, F.col("id") == F.col("__d")).where(at > 0).select("token", "id", "n", "component", before.alias("before"), *words)
+    own = ["id", "n", "component", "before", *words]
+    left, right = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    # 2 * overlap is n + n less the difference.
+    near = (F.col("a_n") + F.col("b_n") - differ) * (100 + percent) >= 2 * percent * (F.col("a_n") + F.col("b_n"))
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+    first = ~F.arrays_overlap("a_before", "b_before")
+    met = left.join(right, "token").where(apart & sizes_match("a_n", "b_n", percent) & near & first)
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
 def op4(docs: DataFrame) -> DataFrame:
