@@ -348,7 +348,7 @@ def _local_clusters(strategy: str) -> Query:
 
 
 def _seed_split(s: SparkSession, d: str) -> plans.Partition:
-    return plans.partition_by_seeds(*adapters.trade(s, d), SplitOptions(strategy="seeds"))
+    return plans.partition_by_seeds(*adapters.trade(s, d), SplitOptions(strategy="seeds", seed_threshold=4))
 
 
 def _map_split(s: SparkSession, d: str) -> plans.Partition:

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +18,7 @@ def duck(sf_dir):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].convert_dtypes().astype(object)
-    return sorted(tuple("" if v is None or v != v or str(v) == "<NA>" else str(v) for v in r) for r in frame.values.tolist())
+    return sorted(tuple("" if pd.isna(v) else str(v) for v in r) for r in frame.values.tolist())
 
 
 def test_entry(spark):
