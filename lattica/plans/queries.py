@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +73,28 @@ def _graph(adapter) -> Callable[[SparkSession, str], plans.Prepared]:
     return make
 
 
-_trade, _all, _co, _orders, _geo, _steps = (_graph(a) for a in (adapters.trade, adapters.trade_all, adapters.coorder, adapters.orders, adapters.geo, adapters.steps))
+_all, _co, _co_whole, _orders, _geo, _steps = (_graph(a) for a in (adapters.trade_all, adapters.coorder, adapters.coorder_whole, adapters.orders, adapters.geo, adapters.steps))
+
+
+
+@dataclass(frozen=True)
+class _Source:
+    """A graph of suppliers and parts, and the options it is split with."""
+
+    adapter: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
+    split: SplitOptions = SplitOptions()
+    prefix: SplitOptions = _OPTIONS
+    seed_threshold: int = 7
+    seed_split_threshold: int = 4
+
+    def make(self, spark: SparkSession, sf_dir: str) -> plans.Prepared:
+        return _graph(self.adapter)(spark, sf_dir)
+
+
+#: Lines of quantity 50 that came back; and all lines, where only the tail of the degrees are hubs, so what is left is one large component.
+_SOME = _Source(adapters.trade)
+_WHOLE_HUBS = {"hub_threshold": 40, "hub_out_threshold": 660}
+_WHOLE = _Source(adapters.trade_whole, SplitOptions(**_WHOLE_HUBS), SplitOptions(max_size=10, min_size=3, strategy="prefix", **_WHOLE_HUBS), 640, 640)
 
 # --- graph ----------------------------------------------------------------------
 
@@ -103,21 +127,21 @@ _REACH = "reach(a, b) AS (SELECT alias, alias FROM {0} UNION SELECT r.a, adj.v F
 _COMP = "comp AS (SELECT a AS alias, min(b) AS component FROM reach GROUP BY a)"
 
 
-def _components(make, excluded: bool = False) -> Query:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        p = make(s, d)
+def _components(make=None, excluded: bool = False) -> Query:
+    def run(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+        p = (make or g.make)(s, d)
         return components.connected(p.degrees, p.adj, hubs.detect(p.degrees, SplitOptions()) if excluded else None)
 
     return run
 
 
-_add("components", _components(_trade), _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, alias, component FROM comp")
+_add("components", _components(), _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, alias, component FROM comp")
 _add("components_minus_hubs", _components(_geo, True), _with(_GEO, "kept AS (SELECT alias FROM nodes WHERE in_degree < 8 AND out_degree < 20)", _REACH.format("kept"), _COMP, recursive=True) + "SELECT 'geo' AS graph_id, alias, component FROM comp")
-_add("component_sizes", lambda s, d: components.component_sizes(_components(_trade)(s, d)), _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, component, count(*) AS size FROM comp GROUP BY component")
+_add("component_sizes", lambda s, d, g=_SOME: components.component_sizes(_components()(s, d, g)), _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, component, count(*) AS size FROM comp GROUP BY component")
 
 
-def _named(s: SparkSession, d: str) -> DataFrame:
-    p = _trade(s, d)
+def _named(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+    p = g.make(s, d)
     return graph.name_by_out_degree(components.connected(p.degrees, p.adj), p.degrees, "component")
 
 
@@ -128,20 +152,20 @@ _WALK = "kept AS (SELECT alias FROM nodes WHERE in_degree < 8 AND out_degree < 2
 _NEAR = "prior AS (SELECT d.seed, d.alias, d.dist, (SELECT count(*) FROM adj JOIN dist e ON e.alias = adj.v AND e.seed = d.seed WHERE adj.u = d.alias AND e.dist = d.dist - 1) AS before FROM dist d), best AS (SELECT seed, alias, dist FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY dist, before DESC, seed) AS k FROM prior) WHERE k = 1)"
 
 
-def _seeded(s: SparkSession, d: str) -> tuple[plans.Prepared, DataFrame, DataFrame, DataFrame]:
-    p = plans.prepare(*adapters.trade(s, d))
-    found = hubs.detect(p.degrees, SplitOptions())
-    seeds = bfs.auto_seeds(p.degrees, found, 7)
+def _seeded(s: SparkSession, d: str, g: _Source = _SOME) -> tuple[plans.Prepared, DataFrame, DataFrame, DataFrame]:
+    p = plans.prepare(*g.adapter(s, d))
+    found = hubs.detect(p.degrees, g.split)
+    seeds = bfs.auto_seeds(p.degrees, found, g.seed_threshold)
     return p, found, seeds, bfs.distances(p.adj, seeds, found)
 
 
-def _nearest(s: SparkSession, d: str) -> DataFrame:
-    p, found, _, dist = _seeded(s, d)
+def _nearest(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+    p, found, _, dist = _seeded(s, d, g)
     return bfs.nearest_seed(p.degrees.join(found.select("graph_id", "alias"), ["graph_id", "alias"], "left_anti"), p.adj, dist)
 
 
-_add("seeds_auto_select", lambda s, d: (lambda p: bfs.auto_seeds(p.degrees, hubs.detect(p.degrees, SplitOptions()), 7))(_trade(s, d)), _with(_TRADE, _SEEDS) + "SELECT 'trade' AS graph_id, alias, out_degree FROM seeds")
-_add("bfs_distances", lambda s, d: _seeded(s, d)[3], _with(_TRADE, _SEEDS, _WALK, recursive=True) + "SELECT 'trade' AS graph_id, seed, alias, dist FROM dist")
+_add("seeds_auto_select", lambda s, d, g=_SOME: (lambda p: bfs.auto_seeds(p.degrees, hubs.detect(p.degrees, g.split), g.seed_threshold))(g.make(s, d)), _with(_TRADE, _SEEDS) + "SELECT 'trade' AS graph_id, alias, out_degree FROM seeds")
+_add("bfs_distances", lambda s, d, g=_SOME: _seeded(s, d, g)[3], _with(_TRADE, _SEEDS, _WALK, recursive=True) + "SELECT 'trade' AS graph_id, seed, alias, dist FROM dist")
 _add("nearest_seed", _nearest, _with(_TRADE, _SEEDS, _WALK, _NEAR, recursive=True) + "SELECT 'trade' AS graph_id, k.alias, coalesce(b.seed, 'misc') AS seed, b.dist FROM kept k LEFT JOIN best b ON b.alias = k.alias")
 
 
@@ -159,23 +183,23 @@ _add(
 # --- prefix, scalars ---------------------------------------------------------------
 
 
-def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False) -> tuple[plans.Prepared, DataFrame, DataFrame]:
-    p = _trade(s, d)
+def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _SOME) -> tuple[plans.Prepared, DataFrame, DataFrame]:
+    p = g.make(s, d)
     members = p.degrees.select("graph_id", "alias").join(p.classes.select("graph_id", "alias", "name"), ["graph_id", "alias"], "left")
-    found = hubs.detect(p.degrees, _OPTIONS)
+    found = hubs.detect(p.degrees, g.prefix)
     if minus_hubs:
         members = members.join(found.select("graph_id", "alias"), ["graph_id", "alias"], "left_anti")
     return p, prefix.prefix_clusters(members, 10), found
 
 
-def _membership(s: SparkSession, d: str, minus_hubs: bool = False) -> tuple[plans.Prepared, DataFrame, DataFrame]:
-    p, clusters, found = _prefixed(s, d, minus_hubs)
+def _membership(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _SOME) -> tuple[plans.Prepared, DataFrame, DataFrame]:
+    p, clusters, found = _prefixed(s, d, minus_hubs, g)
     return p, plans.numbered(clusters.select("graph_id", F.col("cluster_name").alias("cluster_key"), "cluster_name", "alias")), found
 
 
 _PC = (_prefix_sql(10), _MEMBERS)
 _PC_HUBS = (_HUBS5, _prefix_sql(10).replace("FROM nodes n LEFT JOIN", "FROM (SELECT * FROM nodes WHERE alias NOT IN (SELECT alias FROM hub)) n LEFT JOIN"), _MEMBERS)
-_add("prefix_clusters", lambda s, d: _prefixed(s, d)[1].select("graph_id", "alias", "cluster_name"), _with(_TRADE, _prefix_sql(10)) + "SELECT 'trade' AS graph_id, alias, cluster_name FROM pc")
+_add("prefix_clusters", lambda s, d, g=_SOME: _prefixed(s, d, g=g)[1].select("graph_id", "alias", "cluster_name"), _with(_TRADE, _prefix_sql(10)) + "SELECT 'trade' AS graph_id, alias, cluster_name FROM pc")
 _add(
     "prefix_tokens", lambda s, d: adapters.table(s, d, "part").select("p_partkey", F.array_join(text.tokens(F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.upper("p_brand"), F.lit("X1")), ), ",").alias("tokens")),
     f"SELECT p_partkey, array_to_string({_TOKENS.format('n')}, ',') AS tokens FROM (SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') || upper(p_brand) || 'X1' AS n FROM part)",
@@ -190,23 +214,23 @@ _add("html_escape", lambda s, d: adapters.table(s, d, "events").select("event_id
 # --- accounting -----------------------------------------------------------------------
 
 
-def _accounted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, plans.Prepared]:
-    p, membership, _ = _membership(s, d, True)
+def _accounted(s: SparkSession, d: str, g: _Source = _SOME) -> tuple[DataFrame, DataFrame, plans.Prepared]:
+    p, membership, _ = _membership(s, d, True, g)
     return account.classify(p.relations, membership), membership, p
 
 
 _ACC = _with(_TRADE, *_PC_HUBS, _CLASSIFIED)
-_add("edge_accounting", lambda s, d: account.summary(_accounted(s, d)[0]), _ACC + "SELECT 'trade' AS graph_id, count(*) FILTER (kind = 'internal') AS internal_edges, count(*) FILTER (kind = 'inter') AS inter_cluster_edges, count(*) FILTER (kind = 'hub') AS hub_edges, count(*) AS total_edges FROM cl")
+_add("edge_accounting", lambda s, d, g=_SOME: account.summary(_accounted(s, d, g)[0]), _ACC + "SELECT 'trade' AS graph_id, count(*) FILTER (kind = 'internal') AS internal_edges, count(*) FILTER (kind = 'inter') AS inter_cluster_edges, count(*) FILTER (kind = 'hub') AS hub_edges, count(*) AS total_edges FROM cl")
 _add(
-    "cluster_stats", lambda s, d: (lambda a: account.cluster_stats(a[0], a[1]))(_accounted(s, d)),
+    "cluster_stats", lambda s, d, g=_SOME: (lambda a: account.cluster_stats(a[0], a[1]))(_accounted(s, d, g)),
     _ACC + "SELECT 'trade' AS graph_id, m.cluster_id, m.cluster_name, count(*) AS size, (SELECT count(*) FROM cl WHERE kind = 'internal' AND fc = m.cluster_id) AS internal_edges, (SELECT count(*) FROM cl WHERE kind = 'inter' AND (fc = m.cluster_id OR tc = m.cluster_id)) AS external_edges FROM mem m GROUP BY m.cluster_id, m.cluster_name",
 )
 _add(
-    "cluster_pair_counts", lambda s, d: account.pair_counts(_accounted(s, d)[0]),
+    "cluster_pair_counts", lambda s, d, g=_SOME: account.pair_counts(_accounted(s, d, g)[0]),
     _ACC + "SELECT 'trade' AS graph_id, from_cluster, to_cluster, n, CAST(CASE WHEN most <= 1 THEN 1 ELSE 1 + round(CAST(n - 1 AS DOUBLE) / (most - 1) * 3) END AS INTEGER) AS thickness FROM (SELECT fc AS from_cluster, tc AS to_cluster, count(*) AS n, max(count(*)) OVER () AS most FROM cl WHERE kind = 'inter' GROUP BY fc, tc)",
 )
-_add("cut_edges_prefix", lambda s, d: (lambda m: account.cut_edges(m[0].adj, m[1]))(_membership(s, d)), _with(_TRADE, *_PC) + "SELECT 'trade' AS graph_id, count(*) FILTER (a.cluster_id <> b.cluster_id) AS cut FROM adj JOIN mem a ON a.alias = u JOIN mem b ON b.alias = v WHERE u < v")
-_add("oversized_clusters", lambda s, d: (lambda a: account.oversized(account.cluster_stats(a[0], a[1]), 5))(_accounted(s, d)), _ACC + ", sz AS (SELECT cluster_id, cluster_name, count(*) AS size FROM mem GROUP BY ALL HAVING count(*) > 5) SELECT 'trade' AS graph_id, count(*) AS n_oversized, arg_min(cluster_name, (-size) * 100000 + cluster_id) AS largest_name, max(size) AS largest_size FROM sz HAVING count(*) > 0")
+_add("cut_edges_prefix", lambda s, d, g=_SOME: (lambda m: account.cut_edges(m[0].adj, m[1]))(_membership(s, d, g=g)), _with(_TRADE, *_PC) + "SELECT 'trade' AS graph_id, count(*) FILTER (a.cluster_id <> b.cluster_id) AS cut FROM adj JOIN mem a ON a.alias = u JOIN mem b ON b.alias = v WHERE u < v")
+_add("oversized_clusters", lambda s, d, g=_SOME: (lambda a: account.oversized(account.cluster_stats(a[0], a[1]), 5))(_accounted(s, d, g)), _ACC + ", sz AS (SELECT cluster_id, cluster_name, count(*) AS size FROM mem GROUP BY ALL HAVING count(*) > 5) SELECT 'trade' AS graph_id, count(*) AS n_oversized, arg_min(cluster_name, (-size) * 100000 + cluster_id) AS largest_name, max(size) AS largest_size FROM sz HAVING count(*) > 0")
 
 # --- maps -----------------------------------------------------------------------------
 
@@ -228,8 +252,8 @@ _add("map_repeats", lambda s, d: mapfile.repeats(_map_rows(s, d)), f"WITH {_MAP}
 # --- output tables ----------------------------------------------------------------------
 
 
-def _files(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, plans.Prepared]:
-    p, membership, found = _membership(s, d, True)
+def _files(s: SparkSession, d: str, g: _Source = _SOME) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, plans.Prepared]:
+    p, membership, found = _membership(s, d, True, g)
     members = render.files_of_members(membership, found)
     edges = render.file_edges(p.relations, members, found)
     return members, edges, render.boundary(edges, members, found), found, p
@@ -242,15 +266,15 @@ _FILES = _with(
     "fb AS (SELECT DISTINCT e.slug, x.alias FROM fe e, LATERAL (SELECT unnest([e.source, e.target]) AS alias) x WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.slug = e.slug AND fm.alias = x.alias))",
     "bd AS (SELECT fb.slug, fb.alias, CASE WHEN hub.reason <> 'out' THEN 'shared' ELSE 'external' END AS kind, CASE WHEN hub.reason <> 'out' THEN NULL ELSE coalesce(fm.slug, 'external') END AS home FROM fb LEFT JOIN hub ON hub.alias = fb.alias LEFT JOIN fm ON fm.alias = fb.alias)",
 )
-_add("edge_files", lambda s, d: _files(s, d)[1].groupBy("graph_id", "slug", "source", "target").agg(F.count("*").alias("n")), _FILES + "SELECT 'trade' AS graph_id, slug, source, target, count(*) AS n FROM fe GROUP BY ALL")
-_add("boundary_stubs", lambda s, d: _files(s, d)[2], _FILES + "SELECT 'trade' AS graph_id, slug, alias, kind, home FROM bd")
-_add("shared_hubs", lambda s, d: _files(s, d)[0].where("title = 'shared-types'"), _FILES + "SELECT 'trade' AS graph_id, slug, 'shared-types' AS title, alias FROM fm WHERE slug = 'shared_types'")
-_add("palette", lambda s, d: (lambda f: render.palette(f[1], f[0], f[2], "target"))(_files(s, d)), _FILES + "SELECT 'trade' AS graph_id, slug, key, CAST(row_number() OVER (PARTITION BY slug ORDER BY key) - 1 AS INTEGER) AS index FROM (SELECT slug, alias AS key FROM fm UNION SELECT slug, alias FROM fb)")
-_add("cluster_slugs", lambda s, d: render.slugs(_membership(s, d)[1]).select("graph_id", "cluster_name", "slug"), _with(_TRADE, *_PC) + f"SELECT DISTINCT 'trade' AS graph_id, cluster_name, {_SLUG.format('cluster_name')} AS slug FROM mem")
+_add("edge_files", lambda s, d, g=_SOME: _files(s, d, g)[1].groupBy("graph_id", "slug", "source", "target").agg(F.count("*").alias("n")), _FILES + "SELECT 'trade' AS graph_id, slug, source, target, count(*) AS n FROM fe GROUP BY ALL")
+_add("boundary_stubs", lambda s, d, g=_SOME: _files(s, d, g)[2], _FILES + "SELECT 'trade' AS graph_id, slug, alias, kind, home FROM bd")
+_add("shared_hubs", lambda s, d, g=_SOME: _files(s, d, g)[0].where("title = 'shared-types'"), _FILES + "SELECT 'trade' AS graph_id, slug, 'shared-types' AS title, alias FROM fm WHERE slug = 'shared_types'")
+_add("palette", lambda s, d, g=_SOME: (lambda f: render.palette(f[1], f[0], f[2], "target"))(_files(s, d, g)), _FILES + "SELECT 'trade' AS graph_id, slug, key, CAST(row_number() OVER (PARTITION BY slug ORDER BY key) - 1 AS INTEGER) AS index FROM (SELECT slug, alias AS key FROM fm UNION SELECT slug, alias FROM fb)")
+_add("cluster_slugs", lambda s, d, g=_SOME: render.slugs(_membership(s, d, g=g)[1]).select("graph_id", "cluster_name", "slug"), _with(_TRADE, *_PC) + f"SELECT DISTINCT 'trade' AS graph_id, cluster_name, {_SLUG.format('cluster_name')} AS slug FROM mem")
 
 
-def _overview_edges(s: SparkSession, d: str) -> DataFrame:
-    p, membership, _ = _membership(s, d, True)
+def _overview_edges(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+    p, membership, _ = _membership(s, d, True, g)
     made = render.overview(p.relations, membership, SplitOptions(layout="none"))
     lines = made.select("graph_id", F.explode(F.split("content", "\n")).alias("line"))
     return lines.where("line LIKE '%-[thickness=%'")
@@ -293,15 +317,15 @@ _ARROWS = "CASE l_linenumber % 8 WHEN 0 THEN '..>' WHEN 1 THEN '.[#AA].>' WHEN 2
 _add("arrow_canonical", lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.base_arrow(F.expr(_ARROWS)).alias("arrow")), f"SELECT {_KEYED}, CASE l_linenumber % 8 WHEN 0 THEN '..>' WHEN 1 THEN '..>' WHEN 2 THEN '-->' WHEN 3 THEN 'o--' WHEN 4 THEN '*--' WHEN 5 THEN '<|--' WHEN 6 THEN '<|..' END AS arrow FROM lineitem")
 _add("arrow_styled", lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.style_arrow(F.expr(_ARROWS), F.lit("#336699"), F.lit(2)).alias("arrow")), f"SELECT {_KEYED}, CASE l_linenumber % 8 WHEN 0 THEN '.[#336699,thickness=2].>' WHEN 1 THEN '.[#336699,thickness=2].>' WHEN 2 THEN '-[#336699,thickness=2]->' WHEN 3 THEN 'o-[#336699,thickness=2]-' WHEN 4 THEN '*-[#336699,thickness=2]-' WHEN 5 THEN '<|-[#336699,thickness=2]--' WHEN 6 THEN '<|.[#336699,thickness=2]..' ELSE '==>' END AS arrow FROM lineitem")
 _add(
-    "write_relations", lambda s, d: adapters.trade(s, d)[1].select("source", "target", render.relation_line(F.col("source"), F.col("arrow"), F.col("target"), F.lit("sells"), F.lit("1"), F.lit(None).cast("string"), F.lit("#336699"), F.lit(None).cast("int")).alias("line")),
+    "write_relations", lambda s, d, g=_SOME: g.adapter(s, d)[1].select("source", "target", render.relation_line(F.col("source"), F.col("arrow"), F.col("target"), F.lit("sells"), F.lit("1"), F.lit(None).cast("string"), F.lit("#336699"), F.lit(None).cast("int")).alias("line")),
     f"WITH rel AS ({_TRADE}) SELECT source, target, '  ' || source || ' \"1\" .[#336699].> ' || target || ' : sells' AS line FROM rel",
 )
 _add("write_declarations", lambda s, d: adapters.table(s, d, "part").select("p_partkey", render.with_body(render.head_line(F.lit("class"), F.col("p_name"), F.concat(F.lit("P"), "p_partkey"), F.lit("<<part>>"), F.lit("x.svg"), F.lit("#DDDDDD")), F.array(F.concat(F.lit("    "), "p_brand"))).alias("text")), "SELECT p_partkey, '  class \"' || replace(p_name, '\"', '''') || '\" as P' || p_partkey || ' <<part>> [[x.svg]] #DDDDDD {' || chr(10) || '    ' || p_brand || chr(10) || '  }' AS text FROM part")
 
 
-def _round_trip(s: SparkSession, d: str) -> DataFrame:
+def _round_trip(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
     """The trade graph written as a diagram, parsed again: what comes back."""
-    parsed = diagrams.parse(adapters.diagram_text(*adapters.trade(s, d)))
+    parsed = diagrams.parse(adapters.diagram_text(*g.adapter(s, d)))
     return parsed.select("graph_id", F.size("classes").cast("long").alias("n_classes"), F.size("relations").cast("long").alias("n_relations"), F.size("warnings").cast("long").alias("n_warnings"))
 
 
@@ -325,53 +349,53 @@ _add(
     f"WITH {_TM}, nm AS (SELECT alias AS name FROM decl UNION SELECT display FROM decl), pt AS (SELECT name, unnest({_TOKENS.format('name')}) AS token, generate_subscripts({_TOKENS.format('name')}, 1) AS pos FROM nm) SELECT 'parts' AS graph_id, name, string_agg(pseudonym, '' ORDER BY pos) AS new_name FROM pt JOIN named USING (token) GROUP BY name",
 )
 _add(
-    "degree_sequence", lambda s, d: anonymize.degree_sequence(adapters.trade(s, d)[1].select("graph_id", F.col("raw").alias("text"))).select("graph_id", "edges", F.array_join(F.transform("in_degrees", lambda x: x.cast("string")), ",").alias("in_degrees"), F.array_join(F.transform("out_degrees", lambda x: x.cast("string")), ",").alias("out_degrees")),
+    "degree_sequence", lambda s, d, g=_SOME: anonymize.degree_sequence(g.adapter(s, d)[1].select("graph_id", F.col("raw").alias("text"))).select("graph_id", "edges", F.array_join(F.transform("in_degrees", lambda x: x.cast("string")), ",").alias("in_degrees"), F.array_join(F.transform("out_degrees", lambda x: x.cast("string")), ",").alias("out_degrees")),
     _with(_TRADE) + "SELECT 'trade' AS graph_id, CAST(sum(out_degree) AS BIGINT) AS edges, string_agg(CAST(in_degree AS VARCHAR), ',' ORDER BY in_degree) AS in_degrees, string_agg(CAST(out_degree AS VARCHAR), ',' ORDER BY out_degree) AS out_degrees FROM nodes",
 )
 
 # --- splits: rows by their own rules, and invariants that SQL can state -----------------------
 
 
-def _split(strategy: str) -> Callable[[SparkSession, str], plans.Partition]:
-    return lambda s, d: plans.partition(*adapters.trade(s, d), SplitOptions(strategy=strategy))
+def _split(strategy: str) -> Callable[..., plans.Partition]:
+    return lambda s, d, g=_SOME: plans.partition(*g.adapter(s, d), replace(g.split, strategy=strategy))
 
 
 def _local_clusters(strategy: str) -> Query:
     """Communities of the components above 25 nodes, before refinement."""
 
-    def run(s: SparkSession, d: str) -> DataFrame:
-        p = plans.prepare(*adapters.trade(s, d))
-        found = hubs.detect(p.degrees, SplitOptions())
-        return plans.numbered(plans.component_clusters(p, found, SplitOptions(strategy=strategy))[0])
+    def run(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+        p = plans.prepare(*g.adapter(s, d))
+        found = hubs.detect(p.degrees, g.split)
+        return plans.numbered(plans.component_clusters(p, found, replace(g.split, strategy=strategy))[0])
 
     return run
 
 
-def _seed_split(s: SparkSession, d: str) -> plans.Partition:
-    return plans.partition_by_seeds(*adapters.trade(s, d), SplitOptions(strategy="seeds", seed_threshold=4))
+def _seed_split(s: SparkSession, d: str, g: _Source = _SOME) -> plans.Partition:
+    return plans.partition_by_seeds(*g.adapter(s, d), replace(g.split, strategy="seeds", seed_threshold=g.seed_split_threshold))
 
 
-def _map_split(s: SparkSession, d: str) -> plans.Partition:
+def _map_split(s: SparkSession, d: str, g: _Source = _SOME) -> plans.Partition:
     mapping = mapfile.MapFile({"first": [f"S{k}" for k in range(1, 6)], "second": [f"S{k}" for k in range(6, 9)]}, "auto")
-    return plans.partition_by_map(*adapters.trade(s, d), mapping, SplitOptions(strategy="map"))
+    return plans.partition_by_map(*g.adapter(s, d), mapping, replace(g.split, strategy="map"))
 
 
 _SPLITS = {"prefix": _split("prefix"), "louvain": _split("louvain"), "leiden": _split("leiden"), "auto": _split("auto"), "seeds": _seed_split}
 for _n, _m in _SPLITS.items():
-    _add(f"{_n}_partition", lambda s, d, m=_m: m(s, d).membership)
-    _add(f"{_n}_cover", lambda s, d, m=_m: m(s, d).membership.groupBy("graph_id", "alias").agg(F.count("*").alias("n")), _with(_TRADE) + "SELECT 'trade' AS graph_id, alias, CAST(1 AS BIGINT) AS n FROM nodes WHERE in_degree < 8 AND out_degree < 20")
-    _add(f"{_n}_conservation", lambda s, d, m=_m: m(s, d).summary().select("graph_id", "total_edges", (F.col("internal_edges") + F.col("inter_cluster_edges") + F.col("hub_edges")).alias("accounted")), _with(_TRADE) + "SELECT 'trade' AS graph_id, count(*) AS total_edges, count(*) AS accounted FROM rel")
-_add("map_partition", lambda s, d: _map_split(s, d).membership)
-_add("map_partition_mapped", lambda s, d: _map_split(s, d).membership.where("cluster_name IN ('first', 'second')").select("cluster_name", "alias"), _with(_TRADE) + "SELECT CASE WHEN CAST(alias[2:] AS INTEGER) < 6 THEN 'first' ELSE 'second' END AS cluster_name, alias FROM nodes WHERE alias IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')")
+    _add(f"{_n}_partition", lambda s, d, g=_SOME, m=_m: m(s, d, g).membership)
+    _add(f"{_n}_cover", lambda s, d, g=_SOME, m=_m: m(s, d, g).membership.groupBy("graph_id", "alias").agg(F.count("*").alias("n")), _with(_TRADE) + "SELECT 'trade' AS graph_id, alias, CAST(1 AS BIGINT) AS n FROM nodes WHERE in_degree < 8 AND out_degree < 20")
+    _add(f"{_n}_conservation", lambda s, d, g=_SOME, m=_m: m(s, d, g).summary().select("graph_id", "total_edges", (F.col("internal_edges") + F.col("inter_cluster_edges") + F.col("hub_edges")).alias("accounted")), _with(_TRADE) + "SELECT 'trade' AS graph_id, count(*) AS total_edges, count(*) AS accounted FROM rel")
+_add("map_partition", lambda s, d, g=_SOME: _map_split(s, d, g).membership)
+_add("map_partition_mapped", lambda s, d, g=_SOME: _map_split(s, d, g).membership.where("cluster_name IN ('first', 'second')").select("cluster_name", "alias"), _with(_TRADE) + "SELECT CASE WHEN CAST(alias[2:] AS INTEGER) < 6 THEN 'first' ELSE 'second' END AS cluster_name, alias FROM nodes WHERE alias IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')")
 _add("louvain_clusters", _local_clusters("louvain"))
 _add("leiden_clusters", _local_clusters("leiden"))
-_add("auto_decisions", lambda s, d: _split("auto")(s, d).decisions)
+_add("auto_decisions", lambda s, d, g=_SOME: _split("auto")(s, d, g).decisions)
 
 
-def _disconnected(s: SparkSession, d: str) -> DataFrame:
+def _disconnected(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
     """Leiden clusters whose induced graph is not connected: none."""
-    p = _trade(s, d)
-    members = _local_clusters("leiden")(s, d)
+    p = g.make(s, d)
+    members = _local_clusters("leiden")(s, d, g)
     u, v = (members.select("graph_id", F.col("alias").alias(c), F.col("cluster_id").alias(f"c{c}")) for c in ("u", "v"))
     inner = p.adj.join(u, ["graph_id", "u"]).join(v, ["graph_id", "v"]).where("cu = cv").select("graph_id", "u", "v")
     labels = components.connected(members.select("graph_id", "alias"), inner).join(members, ["graph_id", "alias"])
@@ -382,24 +406,48 @@ def _disconnected(s: SparkSession, d: str) -> DataFrame:
 _add("leiden_disconnected_count", _disconnected, "SELECT CAST(0 AS BIGINT) AS n_disconnected")
 
 
-def _output(s: SparkSession, d: str) -> DataFrame:
-    options = SplitOptions(strategy="prefix")
-    return render.output_files(plans.partition(*adapters.trade(s, d), options), options)
+def _output(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+    options = replace(g.split, strategy="prefix")
+    return render.output_files(plans.partition(*g.adapter(s, d), options), options)
 
 
 _add("output_files", _output)
-_add("index_page", lambda s, d: (lambda p: render.index_page(p.classes, p.membership, p.hubs))(_split("prefix")(s, d)))
+_add("index_page", lambda s, d, g=_SOME: (lambda p: render.index_page(p.classes, p.membership, p.hubs))(_split("prefix")(s, d, g)))
 
 
-def _output_parses(s: SparkSession, d: str) -> DataFrame:
+def _output_parses(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
     """Warnings of parsing all cluster files again: none."""
-    files = _output(s, d).where("file_name <> 'overview.puml'").select(F.col("file_name").alias("graph_id"), "content")
+    files = _output(s, d, g).where("file_name <> 'overview.puml'").select(F.col("file_name").alias("graph_id"), "content")
     return diagrams.parse(files).agg(F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("long").alias("n_warnings"))
 
 
 _add("output_parses_clean", _output_parses, "SELECT CAST(0 AS BIGINT) AS n_warnings")
 
 
+# --- whole tables: the same queries over every line ---------------------------------------------
+
+
+def _whole_sql(sql: str) -> str | None:
+    """The SQL of a query, over all lines and with their thresholds; none for recursive SQL, which doesn't end on them in time."""
+    if "RECURSIVE" in sql:
+        return None
+    sql = sql.replace(_TRADE, _TRADE_ALL).replace("'trade' AS", "'trade_all' AS")
+    return re.sub(r"\b(in|out)_degree (>=|<) (?:4|7|8|20)\b", lambda m: f"{m[1]}_degree {m[2]} {_WHOLE_HUBS['hub_threshold' if m[1] == 'in' else 'hub_out_threshold']}", sql)
+
+
+_OF_SOURCE = [
+    "components", "component_sizes", "graph_name_by_out_degree", "bfs_distances", "nearest_seed", "prefix_clusters", "edge_accounting", "cluster_stats", "cluster_pair_counts", "cut_edges_prefix", "oversized_clusters",
+    "edge_files", "boundary_stubs", "shared_hubs", "palette", "cluster_slugs", "overview_edges", "write_relations", "diagram_round_trip", "degree_sequence", *[f"{n}_{what}" for n in _SPLITS for what in ("partition", "cover", "conservation")],
+    "map_partition", "map_partition_mapped", "louvain_clusters", "leiden_clusters", "auto_decisions", "leiden_disconnected_count", "output_files", "index_page", "output_parses_clean",
+]
+for _n in _OF_SOURCE:
+    _add(f"{_n}_whole", partial(QUERIES[_n], g=_WHOLE), _whole_sql(ORACLES.get(_n, "")))
+_add("seeds_auto_select_whole", partial(QUERIES["seeds_auto_select"], g=_WHOLE), _with(_TRADE_ALL) + f"SELECT 'trade_all' AS graph_id, alias, out_degree FROM nodes WHERE out_degree >= {_WHOLE.seed_threshold} AND NOT in_degree >= {_WHOLE_HUBS['hub_threshold']} AND NOT out_degree >= {_WHOLE_HUBS['hub_out_threshold']} AND alias <> 'misc'")
+_COORDER_WHOLE = _COORDER.partition(" WHERE ")[0]
+_add("graph_adjacency_whole", lambda s, d: _co_whole(s, d).adj, _with(_COORDER_WHOLE) + "SELECT 'coorder_all' AS graph_id, u, v FROM adj")
+_add("graph_neighbours_whole", lambda s, d: graph.neighbours(_co_whole(s, d).adj).select("graph_id", "alias", F.array_join("neighbours", ",").alias("neighbours")), _with(_COORDER_WHOLE) + "SELECT 'coorder_all' AS graph_id, u AS alias, string_agg(v, ',' ORDER BY v) AS neighbours FROM adj GROUP BY u")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which nodes are hubs, why, and what policy applies."""
     p = _orders(spark, sf_dir)
