@@ -6,8 +6,9 @@ class or id is no article text, else `body`.  Pages are sorted by host and URL
 path; a page's pair is the neighbour of its host whose path it shares longest.
 Both pages' lines are aligned by their longest common subsequence, and what
 they share is the site's, not the page's: it goes.  Lines of an article stay
-even so, since articles repeat passages; and if a page has an article, its
-other lines go, shared or not.
+even so, since articles repeat passages.  Lines beside an article stay if the
+pair doesn't have them; only where nothing is shared, so that differencing
+tells nothing, does the article alone stay.
 """
 
 from __future__ import annotations
@@ -194,10 +195,9 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
 
 
 def main_text(zones: list[int], texts: list[str], shared: set[int]) -> str:
-    """The lines that stay, joined by one space."""
-    if ARTICLE in zones:
-        return " ".join(t for z, t in zip(zones, texts, strict=True) if z == ARTICLE)
-    return " ".join(t for k, (z, t) in enumerate(zip(zones, texts, strict=True)) if z == BODY and k not in shared)
+    """The lines that stay, joined by one space: an article's, and others that aren't shared; beside an article only if something is."""
+    alone = ARTICLE in zones and not shared
+    return " ".join(t for k, (z, t) in enumerate(zip(zones, texts, strict=True)) if z == ARTICLE or z == BODY and not alone and k not in shared)
 
 
 def _key() -> Column:

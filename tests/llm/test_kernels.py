@@ -199,3 +199,11 @@ def test_slices_cover_all_rows():
     parts = list(slices(batch, "text", 12))
     assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist() and len(parts) > 1
     assert list(slices(batch.slice(0, 0), "text")) == []
+
+
+def test_lines_beside_an_article_by_differencing():
+    lines = html.lines_of("<div>Site menu</div><div>long story</div><article>teaser</article><div>more story</div><div>Site foot</div>")
+    zones, texts = [z for z, _ in lines], [t for _, t in lines]
+    assert html.main_text(zones, texts, {0, 4}) == "long story teaser more story"
+    assert html.main_text(zones, texts, {0, 2, 4}) == "long story teaser more story"
+    assert html.main_text(zones, texts, set()) == "teaser"
