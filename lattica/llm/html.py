@@ -39,16 +39,42 @@ _DROPPED = frozenset("head nav footer aside form button select dialog menu noscr
 #: Page headers; a header inside an article is its own.
 _DROPPED_OUTSIDE = frozenset(["header"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that say what an element is, with its end in an article or without.
+#: Names in a class or id that say what an element is.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended widget pagination pager toolbar copyright".split()
 )
 _COMMENTS = frozenset("comment comments respond response responses disqus reply replies discussion".split())
+#: Before such a name, it says what an element is beside, not what it is.
+_BESIDE = frozenset("has no not non with without".split())
+#: In an article these can be a part of it.
+_AMBIGUOUS = frozenset("discussion respond response responses reply replies".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named(value: str, tag: str, in_article: bool) -> str:
+    """What a class or id says: 'comments', 'soft' or ''.  A name counts as a whole class or id, outside articles also as its last part.
+
+    Articles, main elements, and headings in an article are never dropped for
+    a name, sections in an article only as comments.
+    """
+    if tag in ("article", "main") or in_article and tag in _HEADINGS:
+        return ""
+    found = ""
+    for token in value.split():
+        words = [w.lower() for w in _PART.findall(token)]
+        if not words or in_article and len(words) > 1 or not _BESIDE.isdisjoint(words[:-1]):
+            continue
+        last = words[-1]
+        if last in _COMMENTS and not (in_article and last in _AMBIGUOUS):
+            return "comments"
+        if last in _NAMES and not (in_article and tag == "section") or last == "header" and not in_article:
+            found = "soft"
+    return found
+
+
 def _says(tag: str, attributes: str, in_article: bool) -> str:
     """What an element's start tag says: 'hard', 'soft' or 'comments' if it is no article text, 'article', or ''."""
     if tag in _DROPPED or tag in _DROPPED_OUTSIDE and not in_article:
@@ -62,11 +88,8 @@ def _says(tag: str, attributes: str, in_article: bool) -> str:
             if name == "role":
                 role = value.lower()
             elif name in ("class", "id"):
-                words = {w.lower() for w in _PART.findall(value)}
-                if words & _COMMENTS:
-                    found = "comments"
-                elif words & _NAMES or "header" in words and not in_article:
-                    found = found or "soft"
+                says = _named(value, tag, in_article)
+                found = says if says == "comments" else found or says
     if role in _ROLES:
         return "hard"
     if found == "comments":

@@ -207,3 +207,15 @@ def test_lines_beside_an_article_by_differencing():
     assert html.main_text(zones, texts, {0, 4}) == "long story teaser more story"
     assert html.main_text(zones, texts, {0, 2, 4}) == "long story teaser more story"
     assert html.main_text(zones, texts, set()) == "teaser"
+
+
+def test_names_drop_nothing_else():
+    for kept in ('<section id="discussion">', '<section id="related-work">', '<section id="related">', '<h2 id="discussion">', '<div class="with-sidebar">', '<div class="share-price">'):
+        close = re.match(r"<(\w+)", kept)[1]
+        assert text_of(f"<article>a {kept}b</{close}> c</article>") == "a b c"
+    assert text_of('<article class="post has-comments">a</article>') == "a"
+    assert text_of('<div class="no-comments"><article>a</article></div>') == "a"
+    assert text_of('<main class="related-posts">a</main>') == "a"
+    assert text_of('<div class="content has-sidebar">a</div>') == "a"
+    assert text_of('<div class="page layoutWithSidebar">a</div><div class="left-sidebar">b</div><div id="comments">c<article>d</article></div>') == "a"
+    assert text_of('<article>a<div class="ad">x</div><section class="comments">y</section></article>') == "a"
