@@ -243,15 +243,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return map_batches(_attach(pairs, values, ["tokens"]), run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
-
-    Rows of one id count as one document of the graph if their sets are equal,
-    and are held together by the id if not.  A null id is a document of its
-    own, with itself as component, unless its set equals another's.
-    """
+def _buckets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets; the classes of equal sets; and (token, id, n) of each class under each prefix token that several rows have."""
     spark = docs.sparkSession
-    docs = doc_text(docs)
     classes = token_classes(docs, size)
     at = shared_path(spark, "prefixes")
     prefixes(docs, classes, size, percent).write.parquet(at)
@@ -263,7 +257,32 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: int
     met = sets.where(F.col("first").isNotNull()).select(F.explode("first").alias("token"), "cls")
     met = met.withColumn("__n", F.count("*").over(own)).where("__n > 1").select("token", "cls").distinct()
     reps = members.where(F.col("lead").isNotNull()).select(F.col("cls").alias("__c"), F.col("lead").alias("id"), "n")
-    met = cut(met.join(reps, F.col("cls") == F.col("__c")).select("token", "id", F.col("n").cast("int").alias("n")))
+    return sets, members, cut(met.join(reps, F.col("cls") == F.col("__c")).select("token", "id", F.col("n").cast("int").alias("n")))
+
+
+def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: every linked pair of different sets, verified, inside components too; a set goes by one id of its documents.
+
+    Nothing is skipped for being connected already, so the pairs grow with the
+    square of a group of different near copies; join doesn't need them.  Rows
+    without id have no links here.
+    """
+    docs = doc_text(docs)
+    sets, _, met = _buckets(docs, size, percent)
+    pairs = _all_pairs(met.withColumn("component", F.col("id")), sets, percent)
+    return _verify(cut(_filter_second(pairs, sets, percent)), docs, size, percent)
+
+
+def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    Rows of one id count as one document of the graph if their sets are equal,
+    and are held together by the id if not.  A null id is a document of its
+    own, with itself as component, unless its set equals another's.
+    """
+    docs = doc_text(docs)
+    sets, members, met = _buckets(docs, size, percent)
+    own = Window.partitionBy("token")
     links = labels = None
     for k in range(pivots + 1):
         rows = met.withColumn("component", F.col("id")) if labels is None else _labelled(met, labels)

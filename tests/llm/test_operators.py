@@ -332,3 +332,23 @@ def test_awkward_pages(spark):
 def test_registered(spark, sf_dir):
     names = sorted(queries.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+
+
+def test_links_inside_components(spark):
+    """A group of different near copies: every pair is found, also those that the component doesn't need."""
+    words = [f"w{k}" for k in range(100)]
+    texts = {n: " ".join([*words[:-1], f"end{n}"]) for n in range(30)}
+    texts |= {n: " ".join(f"o{n}-{k}" for k in range(50)) for n in range(30, 34)} | {40: texts[3]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = jaccard.links(frame)
+    assert got.count() == 435 and {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+
+
+def test_links_by_brute_force(docs, texts):
+    import pyarrow as pa
+
+    sets = {d: frozenset(x.tolist()) for d, x in zip(texts, jaccard.shingle_sets(pa.array(texts.values(), pa.string())), strict=True)}
+    kinds = sorted(set(sets.values()) - {frozenset()}, key=len)
+    alike = {frozenset((x, y)) for k, x in enumerate(kinds) for y in kinds[:k] if 100 * len(x & y) >= 85 * len(x | y)}
+    got = jaccard.links(docs).collect()
+    assert len(got) == len(alike) > 0 and {frozenset((sets[r["a"]], sets[r["b"]])) for r in got} == alike
