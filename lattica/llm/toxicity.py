@@ -10,6 +10,7 @@ without it are judged alike.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from .quality import sample_labelled
 
 #: Bounds of what is learned from: documents of a class, pieces of each, code points of a piece, words.
 SAMPLE_DOCS, SAMPLE_PIECES, PIECE_POINTS, VOCABULARY = 2000, 16, 1024, 50000
-#: Sentences that are rewritten, the weight of the score changes, and of the weights' absolute values.
+#: Plain sentences that get a term, beside all that have one, the weight of the score changes, and of the weights' absolute values.
 SWAPS, CHANGE, SPARSE = 4000, 1.0, 2e-4
 THRESHOLD = 0.5
 #: Words that name groups; each list swaps within itself.
@@ -91,22 +92,21 @@ def swapped(sentences: list[list[str]], limit: int = SWAPS) -> list[tuple[set[st
     """Pairs of versions of labelled sentences that differ in an identity term.
 
     A sentence with a term gets the next of its list, and its neutral form
-    without it.  Others, up to the limit, get a term in a place given by their
-    number, so every term is seen beside ordinary words.
+    without it; every such sentence does.  Of the others, the limit's number of
+    least hash get a term by their place, so every term is seen beside ordinary
+    words.
     """
     flat = [w for words in IDENTITIES for w in words]
     out: list[tuple[set[str], set[str]]] = []
-    plain = 0
+    plain = [k for k, words in enumerate(sentences) if words and GROUP_OF.keys().isdisjoint(words)]
+    plain = set(sorted(plain, key=lambda k: (zlib.crc32(" ".join(sentences[k]).encode()), k))[:limit])
     for k, words in enumerate(sentences):
-        if len(out) >= 2 * limit:
-            break
         own = [w for w in words if w in GROUP_OF]
         for w in dict.fromkeys(own):
             group = IDENTITIES[GROUP_OF[w]]
             other = group[(group.index(w) + 1 + k % (len(group) - 1)) % len(group)]
             out += [(set(words), {other if x == w else x for x in words}), (set(words), {x for x in words if x != w})]
-        if not own and words and plain < limit:
-            plain += 1
+        if k in plain:
             a = flat[k % len(flat)]
             group = IDENTITIES[GROUP_OF[a]]
             b = group[(group.index(a) + 1) % len(group)]

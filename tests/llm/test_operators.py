@@ -352,3 +352,13 @@ def test_links_by_brute_force(docs, texts):
     alike = {frozenset((x, y)) for k, x in enumerate(kinds) for y in kinds[:k] if 100 * len(x & y) >= 85 * len(x | y)}
     got = jaccard.links(docs).collect()
     assert len(got) == len(alike) > 0 and {frozenset((sets[r["a"]], sets[r["b"]])) for r in got} == alike
+
+
+def test_every_sentence_with_a_term_is_swapped():
+    plain = [["plain", "sentence", f"w{k}"] for k in range(50)]
+    named = [["women", "write", f"w{k}"] for k in range(5)]
+    out = toxicity.swapped(plain + named, 10)
+    assert all(sum(set(words) == a for a, _ in out) == 2 for words in named)
+    added = [b for a, b in out if b < a and "plain" in b]
+    assert len(out) == 2 * (10 + 5) and {frozenset(b) for b in added} != {frozenset(x) for x in plain[:10]}
+    assert {frozenset(b) for a, b in toxicity.swapped(plain[::-1], 10) if b < a} == {frozenset(b) for b in added}
