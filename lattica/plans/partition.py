@@ -198,8 +198,13 @@ def partition_by_map(classes: DataFrame, relations: DataFrame, mapping: MapFile,
     mapped = p.degrees.select("graph_id", "alias").join(F.broadcast(rows), "alias")
     found = cut(hubs.detect(p.degrees, options, mapped))
     labelled = mapped.select("graph_id", F.concat(F.lit("m|"), "cluster_name").alias("cluster_key"), "cluster_name", "alias")
-    for r in labelled.groupBy("graph_id", "cluster_name").agg(F.count("*").alias("n")).where((F.col("n") < options.min_size) | (F.col("n") > options.max_size)).orderBy("graph_id", "cluster_name").limit(LISTED).collect():
+    outside = labelled.groupBy("graph_id", "cluster_name").agg(F.count("*").alias("n")).where((F.col("n") < options.min_size) | (F.col("n") > options.max_size))
+    shown = outside.orderBy("graph_id", "cluster_name").limit(LISTED).collect()
+    for r in shown:
         warnings.append(f'Mapped cluster "{r["cluster_name"]}" has {r["n"]} member(s), outside [{options.min_size}, {options.max_size}]; it is left as mapped.')
+    n = outside.count() if len(shown) == LISTED else len(shown)
+    if n > len(shown):
+        warnings.append(f"{n - len(shown)} more mapped cluster(s) are outside [{options.min_size}, {options.max_size}]; all are left as mapped.")
     taken = mapped.select("graph_id", "alias").unionByName(found.select("graph_id", "alias"))
     rest = cut(p.degrees.select("graph_id", "alias").join(taken, ["graph_id", "alias"], "left_anti"))
     decisions = spark.createDataFrame([], schema.DECISIONS)

@@ -237,7 +237,7 @@ _add("oversized_clusters", lambda s, d, g=_SOME: (lambda a: account.oversized(ac
 
 def _map_rows(s: SparkSession, d: str) -> DataFrame:
     n, r = adapters.table(s, d, "nation"), adapters.table(s, d, "region")
-    own = n.join(F.broadcast(r.limit(1000)), n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("cluster_name"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("alias"))
+    own = n.join(small(r), n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("cluster_name"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("alias"))
     extra = own.select("cluster_name", F.lit("N1").alias("alias")).distinct()
     return own.unionByName(extra).unionByName(own.select("cluster_name", F.lit("Ghost").alias("alias")).distinct())
 

@@ -218,3 +218,18 @@ def test_degree_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("degrees").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert sorted((r["alias"], r["in_degree"], r["out_degree"]) for r in spark.table("degrees").collect()) == [("A", 0, 2), ("B", 1, 1), ("C", 2, 0)]
+
+
+def test_all_mapped_clusters_outside_the_bounds_are_counted(spark):
+    names = [f"N{k:03}" for k in range(105)]
+    p = partition_by_map(*tables(spark, [(names[0], names[1])], names), mapfile.MapFile({f"c{n}": [n] for n in names}, "misc"))
+    assert sum("it is left as mapped" in w for w in p.warnings) == 100
+    assert "5 more mapped cluster(s) are outside [3, 25]; all are left as mapped." in p.warnings
+
+
+def test_map_rows_have_all_regions(spark, tmp_path):
+    from lattica.plans.queries import QUERIES
+
+    spark.range(1200).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(1200).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "id AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    assert [(r["alias"], r["n_clusters"]) for r in QUERIES["map_conflicts"](spark, str(tmp_path)).orderBy("alias").collect()] == [("Ghost", 1200), ("N1", 1200)]
