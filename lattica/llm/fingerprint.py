@@ -4,9 +4,10 @@ A paragraph is a line; its node is the SHA-256 of its text.  A section is a
 run of paragraphs that ends where the paragraph's own hash says so, about
 every eighth, or at an empty line, so an edit moves no boundary far from it.
 A section's node is the hash of its paragraphs' nodes and the root that of the
-sections' nodes.  Equal roots mean equal texts; differing branches locate
-edits.  Below each paragraph hang pieces of up to five words; the share of
-pieces that two trees have in common is their likeness.  DataFrame and SQL
+sections' nodes.  Equal roots mean equal texts.  The first paragraph that
+differs is found in the lists of paragraphs; sections are not compared and
+further edits not located.  Likeness lies outside the tree: it is the share of
+pieces of up to five words that two texts have in common.  DataFrame and SQL
 functions only.
 """
 
