@@ -4,7 +4,8 @@ A long text is cut into chunks that overlap.  Each chunk is pre-tokenised on
 its own; from some point of the overlap on, both neighbours find the same
 boundaries, and there they are stitched.  The pieces between stitches are then
 encoded, each match of the pattern by itself, and their ids put together are
-those of the whole text.  Decoding puts the bytes of the ids together.
+those of the whole text.  A document's chunks are serial in one task, each from
+the cut before it on.  Decoding puts the bytes of the ids together.
 """
 
 from __future__ import annotations
