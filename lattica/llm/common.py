@@ -20,33 +20,13 @@ ROWS_A_BATCH = 1000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U64 = np.uint64
-
-
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.int64).astype(_U64) * _U64(2) + _U64(1)
-
-
-_EXACT = _table(20240229)
-_FOLDED = _EXACT.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _FOLDED[ord("a") : ord("z") + 1]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=_U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        _POWERS[:] = [_powers(_BASE, size), _powers(_INVERSE, size)]
-    return _POWERS[0], _POWERS[1]
+#: A-Z as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] = FOLD[ord("a") : ord("z") + 1]
+#: Bytes of a span that are hashed in blocks of eight for all spans at once; longer spans are hashed one by one.
+SHORT = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U64)
+_ODD = (_U64(0x9E3779B97F4A7C15), _U64(0xD1342543DE82EF95))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -89,12 +69,49 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def _blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position of a buffer on, as one integer; zeros stand behind its end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span; with fold, A-Z count as a-z."""
-    powers, inverse = _powers_to(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=_U64)
-    np.cumsum((_FOLDED if fold else _EXACT)[buf] * powers[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U64))
+    """A 64-bit hash of each span; with fold, A-Z count as a-z.
+
+    Each block of eight bytes goes through the finaliser with what came before
+    it, so unlike in a polynomial no pattern of repetitions cancels out.
+    """
+    import xxhash
+
+    buf = FOLD[buf] if fold else buf
+    blocks, length = _blocks(buf), ends - starts
+    out = mix64(length.astype(_U64) * _ODD[0] ^ blocks[starts] & _MASK[np.minimum(length, 8)])
+    live = np.flatnonzero((length > 8) & (length <= SHORT))
+    for k in range(8, SHORT, 8):
+        live = live[length[live] > k]
+        if not len(live):
+            break
+        out[live] = mix64(out[live] ^ (blocks[starts[live] + k] & _MASK[np.minimum(length[live] - k, 8)]))
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+    return out
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, others: np.ndarray, length: np.ndarray) -> bool:
+    """Whether each span has the bytes of the other span of its length."""
+    blocks = _blocks(buf)
+    if ((blocks[starts] ^ blocks[others]) & _MASK[np.minimum(length, 8)]).any():
+        return False
+    live = np.flatnonzero((length > 8) & (starts != others))
+    for k in range(8, SHORT, 8):
+        live = live[length[live] > k]
+        if not len(live):
+            return True
+        mask = _MASK[np.minimum(length[live] - k, 8)]
+        if ((blocks[starts[live] + k] ^ blocks[others[live] + k]) & mask).any():
+            return False
+    return all(np.array_equal(buf[starts[i] : starts[i] + length[i]], buf[others[i] : others[i] + length[i]]) for i in live[length[live] > SHORT].tolist())
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +120,10 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     if n <= 0:
         return np.zeros(0, _U64), np.zeros(0, np.int64)
     inside = np.flatnonzero(rows[:n] == rows[size - 1 :])
-    out = np.zeros(len(inside), dtype=_U64)
+    out = np.full(len(inside), size, dtype=_U64)
     for k in range(size):
-        out = out * _U64(0xD1342543DE82EF95) + words[inside + k]
+        out = (out ^ words[inside + k]) * _ODD[1]
+        out ^= out >> _U64(29)
     return mix64(out), inside
 
 

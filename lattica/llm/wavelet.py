@@ -2,16 +2,18 @@
 
 Each bit of the ids is a plane over the shard's tokens.  A plane holds the bit
 of every token in the order that the planes before it leave: first the tokens
-whose bit was 0, then those whose bit was 1.  With the number of ones before
-each block, rank and select answer from the file alone: the token at a
-position, how often an id occurs, where it occurs.  Blocks are compressed each
-by itself, so an answer opens one block of each plane.
+whose bit was 0, then those whose bit was 1.  A directory has the ones before
+every RANK_BITS bits, so rank counts the bits of one such run and select
+searches the directory: the token at a position, how often an id occurs, where
+it occurs, all from the file alone.  Blocks are compressed each by itself, so
+an answer opens one block of each plane.
 
 The file, all integers little-endian: MAGIC; then version, planes, tokens,
 documents, tokens of the same range of documents before this file, bytes of
-the documents' part (seven 64-bit integers); the documents' part, compressed:
-ids, flags of null ids and token counts; for each plane the zeros in it, then
-for each block the ones before it and its bytes; then the blocks.
+the documents' part, 0 (seven 64-bit integers); the documents' part,
+compressed: ids, flags of null ids and token counts; for each plane the zeros
+in it (64 bits), the bytes of each block (32 bits) and the ones before each run
+of RANK_BITS (32 bits); then the blocks.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _U64, doc_text, map_batches, mix64, partitions_for, shared_path, slices, span_hashes, text_buffer, word_spans
+from .common import FOLD, doc_text, map_batches, partitions_for, same_spans, shared_path, slices, span_hashes, text_buffer, word_spans
 
-MAGIC = b"WVLTMX01"
-#: Bits of a plane that are compressed together, and tokens from which a shard's file is closed.
-BLOCK_BITS, SHARD_TOKENS = 1 << 18, 1 << 21
+MAGIC = b"WVLTMX02"
+#: Bits of a plane that are compressed together, bits that the directory has one entry for, and tokens from which a shard's file is closed.
+BLOCK_BITS, RANK_BITS, SHARD_TOKENS = 1 << 17, 1 << 9, 1 << 21
 LEVEL = 1
 END_ID = 2
 #: Pieces whose ids a task remembers; and what the vocabulary writes at the end of a pre-token.
@@ -48,6 +50,8 @@ def write_file(ids: np.ndarray, doc_ids: list[int | None], counts: list[int], be
     """The file of one shard: ids of all its documents in order, each document's id and its number of tokens."""
     import zstandard
 
+    if len(ids) >> 32:
+        raise ValueError("a file holds less than 2 ** 32 tokens")
     comp = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
     docs = comp.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(counts, "<i8").tobytes())
     heads, bodies = [], []
@@ -55,13 +59,19 @@ def write_file(ids: np.ndarray, doc_ids: list[int | None], counts: list[int], be
     for k in range(planes - 1, -1, -1):
         bit = ((order >> order.dtype.type(k)) & order.dtype.type(1)).astype(bool)
         packed = np.packbits(bit)
-        blocks = [packed[i : i + BLOCK_BITS // 8] for i in range(0, len(packed), BLOCK_BITS // 8)]
-        ones = np.array([int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks], np.int64)
-        data = [comp.compress(b.tobytes()) for b in blocks]
-        heads.append(struct.pack("<q", len(bit) - int(ones.sum())) + (np.cumsum(ones) - ones).astype("<i8").tobytes() + np.array([len(d) for d in data], "<i8").tobytes())
+        ones = _run_ones(packed)
+        data = [comp.compress(packed[i : i + BLOCK_BITS // 8].tobytes()) for i in range(0, len(packed), BLOCK_BITS // 8)]
+        heads.append(struct.pack("<q", len(bit) - int(ones.sum())) + np.array([len(d) for d in data], "<u4").tobytes() + (np.cumsum(ones) - ones).astype("<u4").tobytes())
         bodies += data
         order = np.concatenate([order[~bit], order[bit]])
-    return b"".join([MAGIC, struct.pack("<7q", 1, planes, len(ids), len(doc_ids), before, len(docs), 0), docs, *heads, *bodies])
+    return b"".join([MAGIC, struct.pack("<7q", 2, planes, len(ids), len(doc_ids), before, len(docs), 0), docs, *heads, *bodies])
+
+
+def _run_ones(packed: np.ndarray) -> np.ndarray:
+    """The ones in each run of RANK_BITS bits."""
+    counts = np.zeros(-(-len(packed) // (RANK_BITS // 8)) * (RANK_BITS // 8), np.int64)
+    counts[: len(packed)] = np.bitwise_count(packed)
+    return counts.reshape(-1, RANK_BITS // 8).sum(axis=1)
 
 
 class WaveletFile:
@@ -80,41 +90,52 @@ class WaveletFile:
         self.null_ids = np.frombuffer(docs, "u1", n_docs, 8 * n_docs).astype(bool)
         self.counts = np.frombuffer(docs, "<i8", n_docs, 9 * n_docs)
         at += docs_len
-        n_blocks = -(-self.n // BLOCK_BITS)
+        n_blocks, n_runs = -(-self.n // BLOCK_BITS), -(-self.n // RANK_BITS)
         self.zeros, self.ones, sizes = [], [], []
         for _ in range(self.planes):
             self.zeros.append(struct.unpack_from("<q", data, at)[0])
-            self.ones.append(np.frombuffer(data, "<i8", n_blocks, at + 8))
-            sizes.append(np.frombuffer(data, "<i8", n_blocks, at + 8 + 8 * n_blocks))
-            at += 8 + 16 * n_blocks
+            sizes.append(np.frombuffer(data, "<u4", n_blocks, at + 8))
+            self.ones.append(np.frombuffer(data, "<u4", n_runs, at + 8 + 4 * n_blocks))
+            at += 8 + 4 * n_blocks + 4 * n_runs
         self._data, self._at = data, []
         for s in sizes:
-            ends = at + np.cumsum(s)
-            self._at.append(list(zip(ends - s, ends, strict=True)))
+            ends = at + np.cumsum(s, dtype=np.int64)
+            self._at.append(list(zip((ends - s).tolist(), ends.tolist(), strict=True)))
             at = int(ends[-1]) if len(ends) else at
         self._block = lru_cache(maxsize=64)(self._read_block)
 
     def _read_block(self, plane: int, block: int) -> np.ndarray:
+        """The packed bits of a block."""
         a, b = self._at[plane][block]
-        bits = np.unpackbits(np.frombuffer(self._open(self._data[a:b]), np.uint8))
-        return bits[: min(BLOCK_BITS, self.n - block * BLOCK_BITS)]
+        return np.frombuffer(self._open(self._data[a:b]), np.uint8)
+
+    def _run(self, plane: int, at: int) -> np.ndarray:
+        """The bits of the run of the directory that a position is in."""
+        block, rest = divmod(at, BLOCK_BITS)
+        first = rest // RANK_BITS * (RANK_BITS // 8)
+        return np.unpackbits(self._block(plane, block)[first : first + RANK_BITS // 8])
 
     def _bit(self, plane: int, at: int) -> int:
-        return int(self._block(plane, at // BLOCK_BITS)[at % BLOCK_BITS])
+        return int(self._run(plane, at)[at % RANK_BITS])
 
     def _rank1(self, plane: int, at: int) -> int:
         """Ones before a position of a plane."""
         if at >= self.n:
             return self.n - self.zeros[plane]
-        block, rest = divmod(at, BLOCK_BITS)
-        return int(self.ones[plane][block]) + int(self._block(plane, block)[:rest].sum())
+        before, rest = int(self.ones[plane][at // RANK_BITS]), at % RANK_BITS
+        return before + (int(self._run(plane, at)[:rest].sum()) if rest else 0)
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """The position of the k-th such bit of a plane, from 0."""
         ones = self.ones[plane]
-        before = ones if bit else np.arange(len(ones)) * BLOCK_BITS - ones
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        return block * BLOCK_BITS + int(np.flatnonzero(self._block(plane, block) == bit)[k - int(before[block])])
+        low, high = 0, len(ones)
+        while high - low > 1:
+            mid = (low + high) // 2
+            before = int(ones[mid]) if bit else mid * RANK_BITS - int(ones[mid])
+            low, high = (mid, high) if before <= k else (low, mid)
+        at = low * RANK_BITS
+        before = int(ones[low]) if bit else at - int(ones[low])
+        return at + int(np.flatnonzero(self._run(plane, at) == bit)[k - before])
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -161,7 +182,8 @@ class WaveletFile:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for p in range(self.planes - 1, -1, -1):
-            bit = np.concatenate([self._read_block(p, b) for b in range(len(self._at[p]))]).astype(bool) if self.n else np.zeros(0, bool)
+            packed = np.concatenate([self._read_block(p, b) for b in range(len(self._at[p]))]) if self.n else np.zeros(0, np.uint8)
+            bit = np.unpackbits(packed, count=self.n).astype(bool)
             back = np.empty(self.n, kind)
             back[~bit] = out[: self.zeros[p]]
             back[bit] = out[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
@@ -189,12 +211,13 @@ _KIND, _WHOLE = _byte_classes()
 _NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
 
 
-def pre_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pre_tokens(buf: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and class of the pieces of all texts: runs of letters, single digits, runs of other characters.
 
     Pieces are pre-tokens of the tokenizer where a word has only ASCII
-    characters and Latin letters, and no apostrophe, which may join letters.
-    Any other word, up to white space, is one piece of class SPACE.
+    characters and Latin letters, no apostrophe, which may join letters, and
+    none of the added tokens.  Any other word, up to white space, is one piece
+    of class SPACE.
     """
     kind = _KIND[buf]
     new = np.empty(len(buf), bool)
@@ -205,6 +228,12 @@ def pre_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     slow = _WHOLE[buf]
     for lead, last in _NO_LETTERS:
         slow[:-1] |= (buf[:-1] == lead) & (buf[1:] == last)
+    data = buf.tobytes() if added else b""
+    for token in added:
+        at = data.find(token)
+        while at >= 0:
+            slow[at] = True
+            at = data.find(token, at + 1)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(buf))
     kinds = kind[starts]
@@ -224,20 +253,55 @@ def pre_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, kinds
 
 
+def _folded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z, but as they are in words that are one piece."""
+    out = FOLD[buf]
+    whole = kinds == SPACE
+    if whole.any():
+        depth = np.zeros(len(buf) + 1, np.int8)
+        depth[starts[whole]] += 1
+        depth[ends[whole]] -= 1
+        inside = np.cumsum(depth[:-1], dtype=np.int8) > 0
+        out[inside] = buf[inside]
+    return out
+
+
+def _same_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece a number that pieces of the same bytes share, and the first piece of each number.
+
+    Pieces meet by hash, and their bytes are compared; if hashes deceive, the
+    bytes themselves are what they meet by.
+    """
+    import pandas as pd
+
+    codes, first = _numbered(pd.factorize(span_hashes(buf, starts, ends))[0])
+    length = ends - starts
+    if np.array_equal(length, length[first][codes]) and same_spans(buf, starts, starts[first][codes], length):
+        return codes, first
+    data = buf.tobytes()
+    return _numbered(pd.factorize(np.array([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))[0])
+
+
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.empty(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, first
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, which sees each different piece once and not each occurrence.
 
     No token crosses white space or the border of a piece, and capitals count
-    as small letters.  Pieces are known again by a 64-bit hash.  New runs of
+    as small letters.  Pieces are known again by all their bytes.  New runs of
     letters are encoded many in one text, and told apart by the ids that end a
-    word; other new pieces one by one.
+    word; other new pieces one by one.  The library's added tokens, such as
+    special ones, count wherever a text has them, as they do in the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         if hasattr(self._tokenizer.model, "_resize_cache"):
             self._tokenizer.model._resize_cache(0)  # each piece is asked for once
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
@@ -245,16 +309,21 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.planes <= 16 else np.dtype("<u4")
         self._ends = np.zeros(size, bool)
         self._ends[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        # Added tokens of other kinds may reach over white space or into words.
+        if any(t.lstrip or t.rstrip or t.normalized or t.single_word or not t.content or any(c.isspace() for c in t.content) for t in added):
+            raise ValueError("the vocabulary has added tokens that depend on what is around them")
+        self._added = tuple(t.content.encode("utf-8") for t in added)
         self._forget()
 
     def _forget(self) -> None:
-        """What a piece's hash stands for: its number; and by number the place and count of its ids in the pool."""
-        self._number: dict[int, int] = {}
+        """What a piece stands for: its number; and by number the place and count of its ids in the pool."""
+        self._number: dict[bytes, int] = {}
         self._place, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self._pool, self._used = np.zeros(1 << 18, self.kind), 0
 
-    def _learn(self, hashes: list[int], lists: list[np.ndarray]) -> None:
-        n, m = len(self._number), len(hashes)
+    def _learn(self, pieces: list[bytes], lists: list[np.ndarray]) -> None:
+        n, m = len(self._number), len(pieces)
         counts = np.array([len(x) for x in lists], np.int64)
         total = int(counts.sum())
         while n + m > len(self._place):
@@ -266,7 +335,7 @@ class WordEncoder:
             self._place[n : n + m] = self._used + np.cumsum(counts) - counts
             self._count[n : n + m] = counts
             self._used += total
-            self._number.update(zip(hashes, range(n, n + m), strict=True))
+            self._number.update(zip(pieces, range(n, n + m), strict=True))
 
     def _letters(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -289,27 +358,21 @@ class WordEncoder:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
-        import pandas as pd
-
-        starts, ends, kinds = pre_tokens(buf, offsets)
-        hashes = mix64(span_hashes(buf, starts, ends, fold=True) + kinds.astype(_U64))
-        codes, unique = pd.factorize(hashes)
-        if len(self._number) + len(unique) > REMEMBERED:
+        starts, ends, kinds = pre_tokens(buf, offsets, self._added)
+        shown = _folded(buf, starts, ends, kinds)
+        codes, first = _same_pieces(shown, starts, ends)
+        if len(self._number) + len(first) > REMEMBERED:
             self._forget()
-        known = [self._number.get(h, -1) for h in unique.tolist()]
-        numbers = np.array(known, np.int64)
+        data = shown.tobytes()
+        pieces = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        numbers = np.array([self._number.get(p, -1) for p in pieces], np.int64)
         new = np.flatnonzero(numbers < 0)
-        if len(new):
-            first = np.empty(len(unique), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at = first[new]
-            data = buf.tobytes()
-            texts = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            letters = kinds[at] == LETTER
-            for some, encode in ((letters, self._letters), (~letters, self._others)):
-                where = np.flatnonzero(some)
-                numbers[new[where]] = np.arange(len(self._number), len(self._number) + len(where))
-                self._learn([int(h) for h in unique[new[where]]], encode([texts[k] for k in where.tolist()]))
+        letters = kinds[first[new]] == LETTER
+        for some, encode in ((letters, self._letters), (~letters, self._others)):
+            where = new[some]
+            own = [pieces[k] for k in where.tolist()]
+            numbers[where] = np.arange(len(self._number), len(self._number) + len(where))
+            self._learn(own, encode(own))
         number = numbers[codes]
         counts = self._count[number]
         stops = np.cumsum(counts)

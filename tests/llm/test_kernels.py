@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattica.llm import bpe, html, jaccard, mixing, rules, wavelet
-from lattica.llm.common import slices, span_hashes, text_buffer, word_spans
+from lattica.llm.common import same_spans, slices, span_hashes, text_buffer, word_spans
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab A#|é漢\n\t\x0b\x85 ", max_size=60), st.text(max_size=20)), min_size=1, max_size=8)
@@ -69,12 +69,59 @@ def test_pieces_encode_as_the_whole(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(wavelet.tokenizer_path())
-    whole.encode_special_tokens = True
     ids, counts = wavelet.word_encoder(wavelet.tokenizer_path()).encode(*text_buffer(pa.array(texts)))
     ends = np.cumsum(counts)
     assert [ids[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n):
+    """A word and its complement, which any polynomial modulo a power of two takes for one another once they are long."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 64, 1024, 2048, 65536])
+def test_hashes_tell_mirrored_words_apart(n):
+    x, y = thue_morse(n)
+    buf, offsets = text_buffer(pa.array([f"{x} {y} {x}"]))
+    starts, ends, rows = word_spans(buf, offsets)
+    hashes = span_hashes(buf, starts, ends)
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    assert same_spans(buf, starts[:1], starts[2:], ends[:1] - starts[:1]) and not same_spans(buf, starts[:1], starts[1:2], ends[:1] - starts[:1])
+    assert rules.measure_batch(pa.array([f"{x}\n{y}\n{x}"]))["n_dup_lines"].tolist() == [1]
+    sets = jaccard.shingle_sets(pa.array([f"{x} {y} {x} {y} q", f"{y} {x} {y} {x} q"]))
+    assert len(np.intersect1d(*sets)) == 0 and [len(s) for s in sets] == [2, 2]
+    # Windows of words: the same pattern, one level up.
+    words = [" ".join({"a": "one", "b": "two"}[c] for c in w[:8]) for w in (x, y)]
+    a, b = jaccard.shingle_sets(pa.array(words), 8)
+    assert len(np.intersect1d(a, b)) == 0
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 65536])
+def test_mirrored_words_keep_their_own_ids(n):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(wavelet.tokenizer_path())
+    texts = list(thue_morse(n))
+    enc = wavelet.WordEncoder(wavelet.tokenizer_path())
+    for text in texts:
+        assert enc.encode(*text_buffer(pa.array([text])))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(wavelet, "span_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    test_pieces_encode_as_the_whole.hypothesis.inner_test(["some words", "a b some", "", "b!"])
+
+
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "a<|endoftext|>B <|startoftext|><|startoftext|>it's", "<|ENDOFTEXT|> <|endoftext|><|ENDOFTEXT|> <|endof text|>", "<|endoftext|>", "x <|endoftext|", "é漢<|startoftext|>É 12<|endoftext|>34"])
+def test_special_tokens_count_as_in_the_library(text):
+    from tokenizers import Tokenizer
+
+    ids, counts = wavelet.word_encoder(wavelet.tokenizer_path()).encode(*text_buffer(pa.array([text, text + " x", "oftext|> y"])))
+    whole = Tokenizer.from_file(wavelet.tokenizer_path())
+    assert ids.tolist() == [i for t in (text, text + " x", "oftext|> y") for i in whole.encode(t, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize(("n", "top", "planes"), [(0, 5, 3), (1, 1, 1), (70_000, 300, 9), (600_000, 60_000, 16), (1000, 100_000, 17)])
 def test_wavelet_files(n, top, planes):
     kind = "<u2" if planes <= 16 else "<u4"
