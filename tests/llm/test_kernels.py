@@ -231,12 +231,13 @@ def test_filters_lose_no_link():
         if 100 * common < 85 * (len(x) + len(y) - common):
             continue
         heads = []
-        for order in (0, 1):
+        for order in (0, 1, 2):
             ranks = [np.sort(jaccard.ranked(s, classes, order))[: jaccard.prefix_size(len(s))] for s in (x, y)]
             assert len(np.intersect1d(*ranks))
             heads.append(ranks)
-        a, b = ((r >> np.uint64(32)).astype("<u4") for r in heads[1])
-        assert jaccard.second_order_allows(a, b, len(x), len(y), 85)
+        for ranks in heads[1:]:
+            a, b = ((r >> np.uint64(32)).astype("<u4") for r in ranks)
+            assert jaccard.order_allows(a, b, len(x), len(y), 85)
         differ = sum(int(v).bit_count() for v in (jaccard.parity(x) ^ jaccard.parity(y)).view(np.uint64))
         assert differ <= len(x) + len(y) - 2 * common
 

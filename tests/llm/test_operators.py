@@ -214,6 +214,35 @@ def test_jaccard_join_of_chains(spark, pivots):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == components_of(rows, 4, 85)
 
 
+def test_jaccard_join_without_ids(spark):
+    """Rows without id link like others, also when they are all that links two others; rows of one id are one."""
+    words = [f"w{k}" for k in range(200)]
+    drop = lambda n: " ".join(words[n:])
+    rows = [(None, drop(1)), (5, drop(0)), (9, drop(40)), (None, drop(20)), (None, "q r s t u v"), (None, "q r s t u v"), (12, "own words " * 9), (12, "x y z " * 9), (3, "x y z " * 9), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for pivots in (0, 2):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(frame, pivots=pivots).collect())
+        assert got == Counter([(None, 196, 5), (5, 197, 5), (9, 157, 5), (None, 177, 5), (None, 3, None), (None, 3, None), (12, 2, 3), (12, 3, 3), (3, 3, 3), (None, 0, None), (None, 0, None)])
+
+
+def test_counts_are_added_in_levels(docs, monkeypatch):
+    many = docs.repartition(40).select("text")
+    once = jaccard.token_classes(many)
+    monkeypatch.setattr(jaccard, "FAN_IN", 3)
+    assert (jaccard.token_classes(many) == once).all()
+
+
+def test_hot_passage_stays_near_linear(spark):
+    """Thousands of documents that share most of a passage but are no copies make few candidates."""
+    from lattica.llm.common import doc_text
+
+    n, words = 3000, [f"p{k}" for k in range(60)]
+    frame = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(" ".join(words)), *[F.concat(F.lit(f"u{k}-"), "id") for k in range(40)]).alias("text"))
+    _, _, met = jaccard._buckets(doc_text(frame), 4, 85)
+    assert met.count() < n
+    assert jaccard.join(frame).where("doc_id <> component_id").isEmpty()
+
+
 def test_components(spark):
     import random
 
