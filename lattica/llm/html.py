@@ -1,14 +1,19 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into lines, one a block, each with a zone: `article` inside an
-article or main element, `drop` inside an element that by its name, role,
-class or id is no article text, else `body`.  Pages are sorted by host and URL
-path; a page's pair is the neighbour of its host whose path it shares longest.
-Both pages' lines are aligned by their longest common subsequence, and what
-they share is the site's, not the page's: it goes.  Lines of an article stay
-even so, since articles repeat passages.  Lines beside an article stay if the
-pair doesn't have them; only where nothing is shared, so that differencing
-tells nothing, does the article alone stay.
+A page is cut into lines, one a block.  Pages are sorted by host and URL path;
+a page's pair is the neighbour of its host whose path it shares longest.  Both
+pages' lines are aligned by their longest common subsequence.  What they share
+is taken for the site's if the host's pages bear it out: a line goes if
+SITE_PAGES of them have it, a line inside an article only if ARTICLE_PAGES of
+them and ARTICLE_SHARE of all have it, so passages that some articles repeat
+stay.
+
+What a site writes anew on every page no alignment finds: menus, adverts,
+comments.  So lines have a zone: `drop` inside an element that by its name,
+role, class or id is no article text, which goes; `article` inside an article
+or main element; else `body`.  Body lines beside an article stay if the pair
+doesn't have them; only where nothing is shared, so that differencing tells
+nothing, does the article alone stay.
 """
 
 from __future__ import annotations
@@ -24,16 +29,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_batches, partitions_for, slices
+from .common import cut, map_batches, partitions_for, shared_path, slices
 
 DROP, BODY, ARTICLE = 0, 1, 2
+#: Pages of a host that have a shared line if it is the site's, all of them if there are fewer; and, for a line inside an article, how many at least, and what share of all.
+SITE_PAGES, ARTICLE_PAGES, ARTICLE_SHARE = 3, 10, 0.5
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; it ends at their own end tag.
-_RAW = frozenset("script style noscript textarea iframe template svg math object title".split())
+_RAW = frozenset("script style noscript textarea iframe template svg object title".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr ins del label img acronym".split())
 _DROPPED = frozenset("head nav footer aside form button select dialog menu noscript fieldset datalist".split())
 #: Page headers; a header inside an article is its own.
@@ -50,17 +59,19 @@ _COMMENTS = frozenset("comment comments respond response responses disqus reply
 _BESIDE = frozenset("has no not non with without".split())
 #: In an article these can be a part of it.
 _AMBIGUOUS = frozenset("discussion respond response responses reply replies".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: In an article these are its own whatever their names.
+_OWN = frozenset("h1 h2 h3 h4 h5 h6 section figure figcaption table thead tbody tfoot tr td th pre blockquote math dl dt dd".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _named(value: str, tag: str, in_article: bool) -> str:
     """What a class or id says: 'comments', 'soft' or ''.  A name counts as a whole class or id, outside articles also as its last part.
 
-    Articles, main elements, and headings in an article are never dropped for
-    a name, sections in an article only as comments.
+    Articles and main elements are never dropped for a name, nor, in an
+    article, headings, sections, figures, tables and quotations; only a section
+    of comments is.
     """
-    if tag in ("article", "main") or in_article and tag in _HEADINGS:
+    if tag in ("article", "main") or in_article and tag in _OWN and tag != "section":
         return ""
     found = ""
     for token in value.split():
@@ -103,6 +114,7 @@ def lines_of(html: str) -> list[tuple[int, str]]:
     """(zone, text) of each block with text, in page order; references decoded, white space one space."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # element, zone inside, whether an article may end the drop
+    blocks: list[int] = []  # places in the stack of elements that aren't inline
     open_: dict[str, int] = {}
     zone, soft, parts = BODY, False, []
 
@@ -117,6 +129,8 @@ def lines_of(html: str) -> list[tuple[int, str]]:
         nonlocal zone, soft
         name = stack.pop()[0]
         open_[name] -= 1
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         zone, soft = (stack[-1][1], stack[-1][2]) if stack else (BODY, False)
 
     at, n, last = 0, len(html), html.rfind(">")
@@ -155,14 +169,11 @@ def lines_of(html: str) -> list[tuple[int, str]]:
             continue
         if tag in _VOID or attributes.rstrip().endswith("/"):
             continue
-        if tag not in _INLINE and open_.get("p"):
-            for k in range(len(stack) - 1, max(-1, len(stack) - 50), -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
+        if tag not in _INLINE and blocks and stack[blocks[-1]][0] == "p":
+            # A block ends the paragraph around it, with all inline elements that are open in it.
+            end = blocks[-1]
+            while len(stack) > end:
+                pop()
         says = _says(tag, attributes, zone == ARTICLE)
         inner, inner_soft = zone, soft
         if zone == DROP:
@@ -174,6 +185,8 @@ def lines_of(html: str) -> list[tuple[int, str]]:
             inner, inner_soft = DROP, says == "soft"
         if inner != zone:
             flush()
+        if tag not in _INLINE:
+            blocks.append(len(stack))
         stack.append((tag, inner, inner_soft))
         open_[tag] = open_.get(tag, 0) + 1
         zone, soft = inner, inner_soft
@@ -217,16 +230,6 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def main_text(zones: list[int], texts: list[str], shared: set[int]) -> str:
-    """The lines that stay, joined by one space: an article's, and others that aren't shared; beside an article only if something is."""
-    alone = ARTICLE in zones and not shared
-    return " ".join(t for k, (z, t) in enumerate(zip(zones, texts, strict=True)) if z == ARTICLE or z == BODY and not alone and k not in shared)
-
-
-def _key() -> Column:
-    return F.xxhash64("page_id", "url")
-
-
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host in lower case and path, without scheme, query and fragment; empty for null."""
     rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|^//", "")
@@ -237,13 +240,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def pair_pages(pages: DataFrame) -> DataFrame:
     """(key, partner): for each page of a host with several, the sorted neighbour whose path it shares longest, the one before if equal.
 
-    Pages are range-partitioned by host, path and key; rows at the ends of the
-    ranges, two a partition, are what crosses them.
+    pages has key, host and path.  They are range-partitioned by all three;
+    rows at the ends of the ranges, two a partition, are what crosses them.
     """
-    host, path = url_parts(F.col("url"))
-    slim = pages.select(_key().alias("key"), host.alias("host"), path.alias("path")).groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"))
     order = ["host", "path", "key"]
-    ranged = cut(slim.repartitionByRange(partitions_for(pages.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    ranged = cut(pages.select(*order).repartitionByRange(partitions_for(pages.sparkSession), *order).withColumn("part", F.spark_partition_id()))
     row = F.struct(*order)
     ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
     line = Window.orderBy("part")
@@ -259,48 +260,98 @@ def pair_pages(pages: DataFrame) -> DataFrame:
     return near.select("key", F.when(before, F.col("b.key")).when(F.col("ca").isNotNull(), F.col("a.key")).alias("partner")).where("partner IS NOT NULL")
 
 
-_PARSED = T.StructType([T.StructField("key", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("zones", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("texts", T.ArrayType(T.StringType()))])
+_PARSED = T.StructType([
+    *[T.StructField(*x) for x in (("key", T.LongType()), ("page_id", T.LongType()), ("url", T.StringType()), ("host", T.StringType()), ("path", T.StringType()))],
+    T.StructField("zones", T.ArrayType(T.IntegerType())), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType())),
+])
 
 
-def _parse(pages: DataFrame, with_texts: bool) -> DataFrame:
-    rows = pages.select(_key().alias("key"), "page_id", "url", "html")
+def parse(pages: DataFrame) -> DataFrame:
+    """Each page's lines: zones, hashes and texts, those of dropped lines empty; key numbers the rows and holds once they are written."""
+    host, path = url_parts(F.col("url"))
+    rows = pages.select(F.monotonically_increasing_id().alias("key"), "page_id", "url", host.alias("host"), path.alias("path"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
                 zones, hashes, texts = [], [], []
-                for html in part.column(3).to_pylist():
+                for html in part.column(5).to_pylist():
                     lines = lines_of(html or "")
-                    zones.append(bytes(z for z, _ in lines))
-                    hashes.append(np.array([line_hash(t) for _, t in lines], "<i8").tobytes())
-                    texts.append([t if z else "" for z, t in lines] if with_texts else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(zones, pa.binary()), pa.array(hashes, pa.binary()), pa.array(texts, pa.list_(pa.string()))], names=_PARSED.names)
+                    zones.append([z for z, _ in lines])
+                    hashes.append([line_hash(t) for _, t in lines])
+                    texts.append([t if z else "" for z, t in lines])
+                made = [pa.array(zones, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], *made], names=_PARSED.names)
 
     return map_batches(rows, run, _PARSED)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages.
+_SHARED = "key long, host string, places array<int>, found array<long>, zones array<int>"
+
 
-    A null or empty html has an empty text.  Pages of one id and URL are parsed
-    each; the first of their line lists by bytes is what others are paired
-    with.  Without a second page on the host nothing is shared.
+def align(parsed: DataFrame) -> DataFrame:
+    """(key, host, places, found, zones) of pages that share lines with their pair: where the shared lines stand, what they are, in which zone.
+
+    A pair with the same lines throughout is the same page again and tells nothing.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    lines = _parse(pages, False).groupBy("key").agg(F.min("hashes").alias("partner_lines")).withColumnRenamed("key", "partner")
-    partners = pair_pages(pages).join(lines, "partner").select(F.col("key").alias("of"), "partner_lines")
-    both = _parse(pages, True).join(partners, F.col("key") == F.col("of"), "left").select("page_id", "url", "zones", "hashes", "texts", "partner_lines")
+    other = parsed.select(F.col("key").alias("partner"), F.col("lines").alias("partner_lines"))
+    pairs = pair_pages(parsed).join(other, "partner").select(F.col("key").alias("of"), "partner_lines")
+    both = parsed.select("key", "host", "zones", "lines").join(pairs, F.col("key") == F.col("of")).drop("of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for zones, hashes, lines, other in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
-                other = other.as_py()
-                shared = shared_lines(np.frombuffer(hashes.as_py(), "<i8").tolist(), np.frombuffer(other, "<i8").tolist()) if other else set()
-                texts.append(main_text(list(zones.as_py()), lines.as_py(), shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return map_batches(both, run, "page_id long, url string, text string, n_chars long")
+            rows: list[tuple] = []
+            for key, host, zones, own, partner in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                shared = sorted(shared_lines(own, partner)) if own != partner else []
+                if shared:
+                    rows.append((key, host, shared, [own[k] for k in shared], [zones[k] for k in shared]))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "host", "places", "found", "zones"])
+
+    return map_batches(both, run, _SHARED)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def site_lines(parsed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, gone) of every row of shared: the places of its shared lines that are the site's.
+
+    Only lines that some pair shares are counted over the pages of their host.
+    """
+    cells = shared.select("key", "host", F.explode(F.arrays_zip("places", "found", "zones")).alias("x"))
+    cells = cut(cells.select("key", "host", "x.places", "x.found", "x.zones").where(F.col("zones") != DROP))
+    asked = cut(cells.select(F.col("host").alias("__h"), F.col("found").alias("__l")).distinct())
+    each = parsed.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    counts = each.join(_small(asked), (F.col("host") == F.col("__h")) & (F.col("line") == F.col("__l")), "left_semi").groupBy("host", "line").agg(F.count("*").alias("n"))
+    pages = parsed.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "__h")
+    counts = counts.join(_small(pages), F.col("host") == F.col("__h")).where(F.col("n") >= F.least(F.lit(SITE_PAGES), "pages"))
+    counts = cut(counts.select(F.col("host").alias("__h"), F.col("line").alias("__l"), ((F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= F.col("pages") * ARTICLE_SHARE)).alias("most")))
+    found = cells.join(_small(counts), (F.col("host") == F.col("__h")) & (F.col("found") == F.col("__l")))
+    gone = found.where((F.col("zones") != ARTICLE) | F.col("most")).groupBy(F.col("key").alias("__k")).agg(F.collect_list("places").alias("gone"))
+    return shared.select("key").join(gone, F.col("key") == F.col("__k"), "left").select("key", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of pages.
+
+    A null or empty html has an empty text; a null URL is the empty one.  Rows
+    of one id or URL are pages each.  Without another page on its host, or with
+    none but the same page again, a page shares nothing.
+    """
+    spark = pages.sparkSession
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    at = shared_path(spark, "pages")
+    parse(pages).write.parquet(at)
+    parsed = spark.read.schema(_PARSED).parquet(at)
+    gone = cut(site_lines(parsed, cut(align(parsed)))).select(F.col("key").alias("__k"), "gone")
+    rows = parsed.join(_small(gone), F.col("key") == F.col("__k"), "left")
+    alone = F.col("gone").isNull() & F.array_contains("zones", F.lit(ARTICLE))
+    kept = F.filter("texts", lambda t, k: (t != "") & ((F.get("zones", k) == ARTICLE) | ~alone) & ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
+    text = F.array_join(kept, " ")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op9(pages: DataFrame) -> DataFrame:
