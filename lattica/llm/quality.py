@@ -2,12 +2,13 @@
 
 Two zstandard dictionaries, one of text labelled good and one of text labelled
 bad, make the pieces of a text smaller the more they look like it.  The score
-is a calibrated function of the normalised difference of both sizes, summed
-over all pieces of the whole text.
+is a calibrated function of the difference of both sizes, summed over all
+pieces of the whole text and normalised by its length; of nothing else.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import types as T
 
 from .common import append_columns, doc_text, held_out
 
-#: Bounds of what is learned from: documents of a class, pieces of each, code points of a piece.
-SAMPLE_DOCS, SAMPLE_PIECES, PIECE_POINTS = 1500, 16, 512
-DICTIONARY_BYTES, LEVEL, PIECE_BYTES = 112640, 3, 2048
+#: Bound of what is learned from: documents of a class, each with its whole text.
+SAMPLE_DOCS = 1500
+#: Bytes of a dictionary, of a piece that it is trained on, and of a piece that is compressed; the level of compression.
+DICTIONARY_BYTES, TRAINED_BYTES, PIECE_BYTES, LEVEL = 262144, 512, 1024, 3
 THRESHOLD = 0.3
 
 
@@ -45,21 +47,18 @@ class QualityModel:
         return made
 
 
-def features(data: bytes, good, bad) -> tuple[float, float, float]:
-    """The normalised difference, the size by the better dictionary a byte, and the log of the length."""
+def difference(data: bytes, good, bad) -> float:
+    """The difference of the sizes by both dictionaries, summed over all pieces, for each byte of the text: above 0 if the good one makes them smaller."""
     g = b = 0
     for i in range(0, len(data), PIECE_BYTES):
         piece = data[i : i + PIECE_BYTES]
         g += len(good.compress(piece))
         b += len(bad.compress(piece))
-    n = len(data)
-    return (b - g) / max(1, b + g), min(g, b) / max(1, n), float(np.log1p(n))
+    return (b - g) / max(1, len(data))
 
 
-def _design(rows: np.ndarray) -> np.ndarray:
-    """1, the difference, and the difference by length: short texts tell less."""
-    d, size, log_n = rows[:, 0] * 20, rows[:, 1], rows[:, 2] / 10
-    return np.column_stack([np.ones(len(d)), d, d * log_n, np.minimum(size, 1.5), log_n])
+def _design(differences: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(differences)), differences * 20])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -74,61 +73,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, pieces: int = SAMPLE_PIECES, points: int = PIECE_POINTS) -> tuple[list[tuple[int, int, list[str]]], dict[int, int]]:
-    """A bounded sample of labelled rows that aren't held out, and how many rows each class has.
+def sample_labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
+    """(doc_id, label, whole text) of a bounded sample of labelled rows that aren't held out, and how many rows each class has.
 
     Rows are drawn by a hash of the id, so reruns agree; contradicting labels
-    of one id count as the larger.  Of a text of more than pieces * points code
-    points, pieces at even distances over its whole length are taken.
+    of one id count as the larger, and of the texts of one id the least by hash
+    stands for it.
     """
     train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     counts = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y in (0, 1):
-        part = train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = train.where(F.col("y") == y).select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y"))
-    text, n = F.col("text"), F.char_length("text")
-    cut = F.expr(f"CASE WHEN char_length(text) <= {pieces * points} THEN array(text) ELSE transform(sequence(0, {pieces - 1}), i -> substring(text, 1 + CAST(floor(i * (char_length(text) - {points}) / {pieces - 1}) AS INT), {points})) END")
-    base = doc_text(docs).where(text.isNotNull() & (n > 0))
-    rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), cut.alias("parts")).collect()
-    found = {(r["doc_id"], r["h"]): (r["doc_id"], r["y"], list(r["parts"])) for r in rows}
-    return [found[k] for k in sorted(found)], counts
+    base = doc_text(docs).where(F.col("text").isNotNull() & (F.col("text") != ""))
+    rows = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
+    return sorted((r["doc_id"], r["y"], r["text"]) for r in rows), counts
 
 
-def fit_from_sample(sample: list[tuple[int, int, list[str]]], counts: dict[int, int]) -> QualityModel:
+def fit_from_sample(sample: list[tuple[int, int, str]], counts: dict[int, int]) -> QualityModel:
     """Dictionaries from half of the sample, the calibration from the other half, weighted to the classes' true shares."""
     import zstandard
 
-    texts: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for _, y, parts in sample:
-        texts[y].append([p.encode("utf-8", "replace") for p in parts])
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    # In an order that has nothing to do with how the documents came.
+    for _, y, text in sorted(sample, key=lambda r: (zlib.crc32(str(r[0]).encode()), r)):
+        texts[y].append(text.encode("utf-8", "replace"))
     if not texts[0] or not texts[1]:
         share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-        bias = float(np.log((share + 0.01) / (1.01 - share)))
-        return QualityModel(b"good text", b"bad text", False, (bias, 0.0, 0.0, 0.0, 0.0))
-    dictionaries, rest, trained = {}, {}, True
+        return QualityModel(b"good text", b"bad text", False, (float(np.log((share + 0.01) / (1.01 - share))), 0.0))
+    dictionaries, rest, raw, trained = {}, {}, {}, True
     for y in (0, 1):
         half = (len(texts[y]) + 1) // 2
         learn, rest[y] = texts[y][:half], texts[y][half:] or texts[y]
-        pieces = [data[i : i + PIECE_POINTS] for parts in learn for data in parts for i in range(0, len(data), PIECE_POINTS)]
+        pieces = [data[i : i + TRAINED_BYTES] for data in learn for i in range(0, len(data), TRAINED_BYTES)]
         try:
             dictionaries[y] = zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
-        except zstandard.ZstdError:
+        except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
             trained = False
-        rest[y, "raw"] = b"".join(pieces)[:DICTIONARY_BYTES] or b"none"
+        raw[y] = b"".join(pieces)[:DICTIONARY_BYTES]
     if not trained:
-        dictionaries = {y: rest[y, "raw"] for y in (0, 1)}
+        dictionaries = raw
     model = QualityModel(dictionaries[1], dictionaries[0], trained, ())
     good, bad = model.kernel()
-    rows, ys, ws = [], [], []
-    for y in (0, 1):
-        for parts in rest[y]:
-            rows.append(features(b"".join(parts), good, bad))
-            ys.append(y)
-            ws.append(max(1, counts.get(y, 1)) / len(rest[y]))
-    weight = np.array(ws)
-    w = _logistic(_design(np.array(rows)), np.array(ys, dtype=float), weight / weight.mean())
+    rows = [(difference(data, good, bad), y, max(1, counts.get(y, 1)) / len(rest[y])) for y in (0, 1) for data in rest[y]]
+    found, ys, weight = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
+    w = _logistic(_design(found), ys, weight / weight.mean())
     return QualityModel(model.good, model.bad, trained, tuple(float(x) for x in w))
 
 
@@ -150,8 +141,8 @@ def score(docs: DataFrame, model: QualityModel, out: str = "quality_score") -> D
         good, bad = model.kernel()
 
         def work(part: pa.RecordBatch) -> list[pa.Array]:
-            rows = np.array([features((t or "").encode("utf-8"), good, bad) for t in part.column(part.schema.get_field_index("text")).to_pylist()])
-            z = _design(rows) @ weights
+            found = np.array([difference((t or "").encode("utf-8"), good, bad) for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+            z = _design(found) @ weights
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())]
 
         return work
