@@ -181,6 +181,28 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names, whatever their case, under others, and what gives any rows of it the columns of df again."""
+    taken, known = {x.lower() for x in names}, {c.lower() for c in df.columns}
+    own = []
+    for c in df.columns:
+        other, k = c, 0
+        while other.lower() in taken:
+            k += 1
+            other = f"__{k}_{c}"
+            if other.lower() in known:
+                other = c
+        known.add(other.lower())
+        own.append(other)
+    return df.toDF(*own), lambda out: out.select(*[F.col(f"`{x}`").alias(c) for x, c in zip(own, df.columns, strict=True)])
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def append_columns(df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: list[T.StructField], text: str = "text", limit: int = STEP_BYTES) -> DataFrame:
     """df with the columns that kernel()(slice) makes; columns of the same names are replaced.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut
+from .common import WORD, cut, partitions_for
 
 #: Fixed values of the mix: weights in turn, tokens taken in all, copies of a document at most.
 WEIGHTS, SHARE, COPIES = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -32,21 +32,33 @@ LANDING = 12
 _EPS = 1e-9
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: float = COPIES) -> dict[str | None, float]:
-    """Tokens to take of each source: weights in code point order, null last; what is above the most goes to the others by weight."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out, free, left = {}, list(names), share * sum(sizes.values())
-    while free:
-        each = left / sum(weight[s] for s in free)
-        over = [s for s in free if each * weight[s] > copies * sizes[s]]
-        if not over:
-            return out | {s: each * weight[s] for s in free}
-        for s in over:
-            out[s] = copies * sizes[s]
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
+def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: float = COPIES) -> DataFrame:
+    """(of, source_size, target) of each source: weights in code point order, null last; what is above the most goes to the others by weight.
+
+    Of rows (source, size).  Sources stay in a table: they are numbered over
+    range partitions, and a round of sharing is one aggregation that gives the
+    words still to share and the weight still to share them by.  What a unit
+    of weight gets only grows, so it alone tells whose target has stopped.
+    """
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = cut(sums.repartitionByRange(partitions_for(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    sources = cut(ranged.join(F.broadcast(before), "part").select(F.col("source").alias("of"), "source_size", F.get(turn, F.pmod(number, F.lit(len(weights))).cast("int")).alias("weight")))
+    each, n_over = 0.0, None
+    while True:
+        over = F.col("weight") * each > F.col("source_size") * copies
+        total, stopped, free, n = sources.agg(
+            F.sum("source_size"), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight"))), F.count(F.when(over, 1))
+        ).first()
+        if not free or n == n_over:
+            break
+        each, n_over = (share * total - copies * (stopped or 0)) / free, n
+    target = F.when(F.col("weight") * each > F.col("source_size") * copies, F.col("source_size") * copies).otherwise(F.col("weight") * each)
+    return sources.select("of", "source_size", target.cast("double").alias("target"))
 
 
 def fly(sizes: list[int], chance: list[float], rng: random.Random) -> list[float]:
@@ -144,17 +156,12 @@ def mix(docs: DataFrame) -> DataFrame:
     a source without words get no copies.  Repeated rows are drawn each.
     Draws depend on ids, sizes and sources only, so reruns agree.
     """
-    spark = docs.sparkSession
     rows = cut(sized(docs))
-    sums = {r["source"]: int(r["s"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s")).collect()}
-    goal = targets(sums)
-    schema = "of string, source_size long, target double, base long, chance double"
-    table = []
-    for s, size in sums.items():
-        rate = min(COPIES, goal[s] / size) if size else 0.0
-        table.append((s, size, float(goal[s]), int(rate), rate - int(rate)))
-    small = spark.createDataFrame(table, schema)
-    small = F.broadcast(small) if len(table) <= SOURCES else small
+    table = source_targets(rows)
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(COPIES), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    small = cut(table.withColumn("rate", rate).select("of", "source_size", "target", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("chance")))
+    few = small.count() <= SOURCES
+    small = F.broadcast(small) if few else small
     open_rows = rows.where("size > 0").join(small, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "base", "chance")
     still = rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("base"), F.lit(0.0).alias("chance"))
     level, last, parts = 1, False, [still]
@@ -169,7 +176,7 @@ def mix(docs: DataFrame) -> DataFrame:
         whole = whole.unionByName(p)
     copies = (F.col("base") + F.round("chance")).cast("long")
     totals = small.drop("base", "chance")
-    return whole.join(F.broadcast(totals) if len(table) <= SOURCES else totals, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return whole.join(F.broadcast(totals) if few else totals, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def apply_mix(docs: DataFrame, decisions: DataFrame) -> DataFrame:
