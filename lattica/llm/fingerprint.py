@@ -1,14 +1,16 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections.
-
-A paragraph is a line; its node is the SHA-256 of its text.  A section is a
-run of paragraphs that ends where the paragraph's own hash says so, about
-every eighth, or at an empty line, so an edit moves no boundary far from it.
-A section's node is the hash of its paragraphs' nodes and the root that of the
-sections' nodes.  Equal roots mean equal texts.  The first paragraph that
-differs is found in the lists of paragraphs; sections are not compared and
-further edits not located.  Likeness lies outside the tree: it is the share of
-pieces of up to five words that two texts have in common.  DataFrame and SQL
-functions only.
+"""Document fingerprints: a Merkle tree of pieces, paragraphs and sections.
+
+The leaves are pieces of up to five words, with the white space behind them, so
+a paragraph's leaves are all of it.  A paragraph is a line; its node is the
+SHA-256 of its leaves' hashes.  A section is a run of paragraphs that ends where
+the paragraph's own node says so, about every eighth, or at an empty line, so
+an edit moves no boundary far from it.  A section's node is the hash of its
+paragraphs' nodes and the root that of the sections' nodes.  Equal roots mean
+equal texts.
+
+Edits are located from the root down: where roots differ, sections that the
+other tree lacks are opened, and in these the paragraphs that it lacks.
+Likeness is the share of leaves in common.  DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -20,19 +22,25 @@ from .common import cut, partitions_for
 
 #: A hash that ends a section: one of 32 in 256 first bytes, or that of an empty line.
 SECTION_END = r"(?m)^(?:[01][0-9a-f]{63}|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$"
-#: A piece: up to five words of one line, no further than the end of a sentence; long words are cut.
-PIECE = r"(?:[^ \t\n\x0B\f\r.!?]{1,48}[ \t]+){0,4}[^ \t\n\x0B\f\r.!?]{1,48}[.!?]*|[.!?]+"
+#: A piece: up to five words of one line, no further than the end of a sentence, and the white space behind them; long words are cut.
+PIECE = r"(?:[^ \t\n\x0B\f\r.!?]{1,48}[ \t\x0B\f\r]+){0,4}[^ \t\n\x0B\f\r.!?]{1,48}[.!?]*[ \t\x0B\f\r]*|[.!?]+[ \t\x0B\f\r]*|[ \t\x0B\f\r]+"
 _LOWEST = -(1 << 63)
 
 
 def paragraph_hashes(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+    """The nodes of the paragraphs, from the hashes of their leaves."""
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.sha2(x, 256))
+    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(F.array_join(leaves(p), ""), 256))
+
+
+def sections_of(paragraphs: Column) -> Column:
+    """The sections, each as the nodes of its paragraphs, a line each."""
+    return F.split(F.regexp_replace(F.array_join(paragraphs, "\n"), SECTION_END, "$0|"), r"\|\n?", -1)
 
 
 def section_hashes(paragraphs: Column) -> Column:
     """The nodes of the sections, from those of the paragraphs."""
-    joined = F.regexp_replace(F.array_join(paragraphs, "\n"), SECTION_END, "$0|")
-    return F.transform(F.split(joined, r"\|\n?", -1), lambda s: F.sha2(s, 256))
+    return F.transform(sections_of(paragraphs), lambda s: F.sha2(s, 256))
 
 
 def root(sections: Column) -> Column:
@@ -40,12 +48,12 @@ def root(sections: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """The distinct hashes of a text's pieces."""
+    """The distinct leaves of a text, each as a short hash of its piece."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
 def likeness(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
-    """From 0 to 1: twice the pieces in common over the pieces of both; 1 for equal roots."""
+    """From 0 to 1: twice the leaves in common over the leaves of both; 1 for equal roots."""
     both = F.size(a) + F.size(b)
     return F.when(root_a == root_b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
@@ -57,6 +65,13 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
+def edited_paragraphs(a: Column, b: Column) -> Column:
+    """Distinct nodes of paragraphs of the first tree that the second lacks, looked for only in sections that it lacks."""
+    own, other = sections_of(a), sections_of(b)
+    inside = lambda sections: F.flatten(F.transform(sections, lambda s: F.split(s, "\n", -1)))
+    return F.array_except(inside(F.array_except(own, other)), inside(F.array_except(other, own)))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """docs with `tree`: root, sections, paragraphs and pieces; a null text counts as empty.
 
@@ -124,10 +139,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return both.select(
         F.when(F.col("key") != _LOWEST, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("a"), F.col("b"), f, e).alias("near_edited"), likeness(F.col("a"), F.col("next_pieces"), f, x).alias("near_next"),
-        first_difference(F.col("p"), F.col("q")).cast("long").alias("first_edited_paragraph"),
+        first_difference(F.col("p"), F.col("q")).cast("long").alias("first_edited_paragraph"), F.size(edited_paragraphs(F.col("p"), F.col("q"))).cast("long").alias("edited_paragraphs"),
     )
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """The query's rows, with the paragraph where the edit begins."""
+    """The query's rows, with the paragraph where the edit begins and the number of those that it changes."""
     return compare_with_next(docs)

@@ -42,22 +42,30 @@ def queries() -> dict[str, Query]:
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
-def _tree(text: str) -> str:
-    paragraphs = f"list_transform(string_split({text}, chr(10)), lambda p: sha256(p))"
-    ended = f"regexp_replace(array_to_string({paragraphs}, chr(10)), '{fingerprint.SECTION_END}', '\\0|', 'g')"
-    return f"sha256(array_to_string(list_transform(string_split_regex({ended}, '\\|\\n?'), lambda s: sha256(s)), chr(10)))"
+def _paragraphs(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10)), lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '{fingerprint.PIECE}'), lambda x: sha256(x)), '')))"
+
+
+def _sections(paragraphs: str) -> str:
+    return f"string_split_regex(regexp_replace(array_to_string({paragraphs}, chr(10)), '{fingerprint.SECTION_END}', '\\0|', 'g'), '\\|\\n?')"
+
+
+def _root(sections: str) -> str:
+    return f"sha256(array_to_string(list_transform({sections}, lambda s: sha256(s)), chr(10)))"
 
 
 def _fingerprints() -> str:
     pieces = lambda t: f"list_distinct(regexp_extract_all({t}, '{fingerprint.PIECE}'))"
+    lacking = lambda x, y: f"list_distinct(flatten(list_transform(list_filter({x}, lambda s: NOT list_contains({y}, s)), lambda s: string_split(s, chr(10)))))"
     like = lambda x, y, f, g: f"CASE WHEN {f} = {g} THEN 1.0::DOUBLE WHEN len({x}) + len({y}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
     x AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
     e AS (SELECT *, substring(text, 1, n - n // 3) || substring(nxt, 1, n // 3) AS edited FROM x),
-    f AS (SELECT *, {_tree("text")} AS f, {_tree("edited")} AS g, {_tree("nxt")} AS h, {pieces("text")} AS a, {pieces("edited")} AS b, {pieces("nxt")} AS c, string_split(text, chr(10)) AS p, string_split(edited, chr(10)) AS q FROM e)
+    f AS (SELECT *, {_sections(_paragraphs("text"))} AS p, {_sections(_paragraphs("edited"))} AS q, {_root(_sections(_paragraphs("nxt")))} AS h, {pieces("text")} AS a, {pieces("edited")} AS b, {pieces("nxt")} AS c, string_split(text, chr(10)) AS l, string_split(edited, chr(10)) AS m FROM e),
+    g AS (SELECT *, {_root("p")} AS f, {_root("q")} AS g, {lacking("p", "q")} AS lacks, {lacking("q", "p")} AS gains FROM f)
     SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, f AS fingerprint, g AS edited_fingerprint, {like("a", "b", "f", "g")} AS near_edited, {like("a", "c", "f", "h")} AS near_next,
-    CAST(list_position(list_transform(range(1, greatest(len(p), len(q)) + 1), lambda i: coalesce(p[i] = q[i], false)), false) - 1 AS BIGINT) AS first_edited_paragraph FROM f"""
+    CAST(list_position(list_transform(range(1, greatest(len(l), len(m)) + 1), lambda i: coalesce(l[i] = m[i], false)), false) - 1 AS BIGINT) AS first_edited_paragraph, len(list_filter(lacks, lambda x: NOT list_contains(gains, x))) AS edited_paragraphs FROM g"""
 
 
 _JACCARD = f"""
