@@ -1,17 +1,27 @@
-"""Refinement of clusters to sizes within bounds: rounds of splitting and merging."""
+"""Refinement of clusters to sizes within bounds: rounds of splitting and merging.
+
+Splitting looks at one cluster at a time.  Merging needs no members, only the
+quotient graph: sizes, names, and how many neighbours two clusters have in
+each other.
+"""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
-from lattica.options import MISC
 from lattica.operators.community import Clusters, LocalGraph, in_order
+from lattica.options import MISC
 
 #: Fixed value: rounds of splitting and merging.
 ROUNDS = 5
 
+Splitter = Callable[[list[str]], Clusters]
+#: For each cluster the clusters next to it, with the number of neighbours and the first pair of them.
+Links = list[dict[int, tuple[int, tuple[bytes, bytes]]]]
 
-def split_large(clusters: Clusters, max_size: int, splitter: Callable[[list[str]], Clusters], stuck: set[tuple[str, ...]]) -> Clusters:
+
+def split_large(clusters: Clusters, max_size: int, splitter: Splitter, stuck: set[tuple[str, ...]]) -> Clusters:
     """Every cluster above max_size is split as long as the splitter makes smaller parts that cover it exactly.
 
     stuck remembers what could not be split.
@@ -34,34 +44,73 @@ def split_large(clusters: Clusters, max_size: int, splitter: Callable[[list[str]
     return out
 
 
-def merge_small(clusters: Clusters, graph: LocalGraph, min_size: int, max_size: int) -> Clusters:
-    """The smallest cluster under min_size joins the neighbour with most links that has room, else misc; until none is left or one cluster is."""
-    rest = [(name, list(ms)) for name, ms in clusters]
-    while len(rest) > 1:
-        under = [(len(ms), name.encode(), k) for k, (name, ms) in enumerate(rest) if len(ms) < min_size and name != MISC]
-        if not under:
-            break
-        name, members = rest.pop(min(under)[2])
-        of = {m: k for k, (_, ms) in enumerate(rest) for m in ms}
-        links: dict[int, int] = {}
-        for m in members:
-            for v in graph.near.get(m, ()):
-                if v in of:
-                    links[of[v]] = links.get(of[v], 0) + 1
-        seen = list(links)
-        room = [k for k in seen if len(rest[k][1]) + len(members) <= max_size]
+def merge_quotient(names: list[str], sizes: list[int], links: Links, min_size: int, max_size: int) -> list[tuple[str, list[int]]]:
+    """What clusters become, in order: a name and the numbers of the clusters in it.
+
+    The smallest cluster under min_size joins the neighbour with most links
+    that has room, else misc; until none is left or one cluster is.
+    """
+    names, sizes, links = list(names), list(sizes), [dict(x) for x in links]
+    held: dict[int, list[int]] = {k: [k] for k in range(len(names))}
+    misc = next((k for k, name in enumerate(names) if name == MISC), None)
+
+    def entry(k: int) -> tuple[int, bytes, int]:
+        return sizes[k], names[k].encode(), k
+
+    queue = [entry(k) for k in held if names[k] != MISC and sizes[k] < min_size]
+    heapq.heapify(queue)
+    while queue and len(held) > 1:
+        small = heapq.heappop(queue)
+        k = small[2]
+        if k not in held or small != entry(k):
+            continue
+        room = [(-n, names[j].encode(), first, j) for j, (n, first) in links[k].items() if sizes[j] + sizes[k] <= max_size]
         if room:
-            k = min(room, key=lambda k: (-links[k], rest[k][0].encode(), seen.index(k)))
+            to = min(room)[3]
         else:
-            k = next((k for k, (other, _) in enumerate(rest) if other == MISC), None)
-            if k is None:
-                rest.append((MISC, []))
-                k = len(rest) - 1
-        rest[k] = (rest[k][0], sorted([*rest[k][1], *members], key=str.encode))
-    return rest
+            if misc is None:
+                misc = len(names)
+                names.append(MISC)
+                sizes.append(0)
+                links.append({})
+                held[misc] = []
+            to = misc
+        sizes[to] += sizes[k]
+        held[to] += held.pop(k)
+        for j, (n, first) in links[k].items():
+            back = links[j].pop(k)
+            if j == to:
+                continue
+            for x, y, (more, pair) in ((to, j, (n, first)), (j, to, back)):
+                known = links[x].get(y, (0, pair))
+                links[x][y] = (known[0] + more, min(known[1], pair))
+        links[k] = {}
+        if names[to] != MISC and sizes[to] < min_size:
+            heapq.heappush(queue, entry(to))
+    return [(names[k], held[k]) for k in sorted(held)]
+
+
+def quotient(clusters: Clusters, graph: LocalGraph) -> Links:
+    of = {m: k for k, (_, ms) in enumerate(clusters) for m in ms}
+    links: Links = [{} for _ in clusters]
+    for k, (_, ms) in enumerate(clusters):
+        for m in ms:
+            for v in graph.near.get(m, ()):
+                j = of.get(v, k)
+                if j != k:
+                    pair = (m.encode(), v.encode())
+                    n, first = links[k].get(j, (0, pair))
+                    links[k][j] = (n + 1, min(first, pair))
+    return links
+
+
+def merge_small(clusters: Clusters, graph: LocalGraph, min_size: int, max_size: int) -> Clusters:
+    """merge_quotient of clusters whose members are at hand."""
+    merged = merge_quotient([name for name, _ in clusters], [len(ms) for _, ms in clusters], quotient(clusters, graph), min_size, max_size)
+    return [(name, sorted((m for k in ks for m in clusters[k][1]), key=str.encode)) for name, ks in merged]
 
 
-def refine(clusters: Clusters, graph: LocalGraph, min_size: int, max_size: int, splitter: Callable[[list[str]], Clusters]) -> Clusters:
+def refine(clusters: Clusters, graph: LocalGraph, min_size: int, max_size: int, splitter: Splitter) -> Clusters:
     """Split, then merge, until nothing is above max_size, a round changes nothing, or five rounds are over."""
     stuck: set[tuple[str, ...]] = set()
     before = None

@@ -32,8 +32,8 @@ class SplitOptions:
     edge_color: str = "target"
     legend: bool = True
     headers: tuple[str, ...] = ()
-    #: Nodes of a group that one task works on; larger ones are an error, not a wait without end.
-    max_group_nodes: int = 200_000
+    #: Nodes of a graph up to which one task refines all of its clusters; larger graphs are refined by rounds over all tasks.
+    one_task_nodes: int = 100_000
 
     def validate(self) -> SplitOptions:
         """Checks in a fixed order; the first failure is raised."""

@@ -9,16 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica import schema
-from lattica.operators import account, bfs, components, graph, hubs
+from lattica.operators import account, bfs, components, graph, hubs, prefix
 from lattica.operators.community import LocalGraph
-from lattica.operators.refine import refine
+from lattica.operators.refine import ROUNDS, merge_quotient, refine, split_large
 from lattica.options import MISC, PartitionError, SplitOptions
 from lattica.session import cut
 from lattica.sources.mapfile import MapFile
 
-_LABELLED = "graph_id string, cluster_key string, cluster_name string, alias string"
-_STAGED = schema.DECISIONS
-#: Names listed in an error or a warning.
+#: Names of graph nodes listed in an error or a warning, which states the number of all.
 LISTED = 100
 
 
@@ -83,8 +81,6 @@ def _rows_for(members: DataFrame, p: Prepared, by: list[str]) -> DataFrame:
 
 def _local(frame: pd.DataFrame, options: SplitOptions) -> tuple[LocalGraph, pd.DataFrame]:
     nodes = frame[frame["v"].isna()]
-    if len(nodes) > options.max_group_nodes:
-        raise PartitionError(f"{len(nodes)} nodes in one group of graph {frame['graph_id'].iloc[0]}; max_group_nodes is {options.max_group_nodes}.")
     edges = frame[~frame["v"].isna()]
     return LocalGraph(list(zip(edges["alias"], edges["v"], strict=True)), dict(zip(nodes["alias"], nodes["out_degree"], strict=True)), dict(zip(nodes["alias"], nodes["name"], strict=True)), options.max_size), nodes
 
@@ -108,7 +104,7 @@ def _clusters(tagged: DataFrame) -> DataFrame:
 
 
 def component_clusters(p: Prepared, excluded: DataFrame, options: SplitOptions, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Components without the excluded: small ones are clusters, large ones are split by the strategy, each in a task of its own."""
+    """Components without the excluded: small ones are clusters, large ones are split by the strategy, by prefix in columns, else each in a task of its own."""
     labels = components.connected(p.degrees, p.adj, excluded)
     if only is not None:
         labels = labels.join(only.select("graph_id", "alias"), ["graph_id", "alias"], "left_semi")
@@ -117,6 +113,12 @@ def component_clusters(p: Prepared, excluded: DataFrame, options: SplitOptions,
     names = graph.name_by_out_degree(small, p.degrees, "component")
     whole = small.join(names, ["graph_id", "component"]).select("graph_id", F.concat(F.lit("c|"), "component").alias("cluster_key"), "cluster_name", "alias")
 
+    if options.strategy == "prefix":
+        shown = large.join(p.classes.select("graph_id", "alias", "name"), ["graph_id", "alias"], "left")
+        by_name = prefix.prefix_clusters(shown, options.max_size, ["component"])
+        key = F.concat_ws("|", F.lit("s"), "component", "cluster_name")
+        return whole.unionByName(by_name.select("graph_id", key.alias("cluster_key"), "cluster_name", "alias")), p.classes.sparkSession.createDataFrame([], schema.DECISIONS)
+
     def split(frame: pd.DataFrame) -> pd.DataFrame:
         local, nodes = _local(frame, options)
         clusters = local.strategy(options.strategy)(sorted(nodes["alias"], key=str.encode))
@@ -127,12 +129,18 @@ def component_clusters(p: Prepared, excluded: DataFrame, options: SplitOptions,
 
 
 def refined(p: Prepared, labelled: DataFrame, options: SplitOptions) -> tuple[DataFrame, DataFrame]:
-    """The clusters of each graph brought within bounds.  Graphs that are within them already are left alone."""
+    """The clusters of each graph brought within bounds.
+
+    Graphs that are within them already are left alone.  Others of up to
+    one_task_nodes nodes take a task each; in larger ones each cluster is split
+    in a task of its own, and only sizes and link counts of clusters meet in one.
+    """
     labelled = cut(labelled)
     sizes = labelled.groupBy("graph_id", "cluster_key", "cluster_name").agg(F.count("*").alias("n"))
-    state = sizes.groupBy("graph_id").agg(F.count("*").alias("k"), F.max("n").alias("most"), F.min(F.when(F.col("cluster_name") != MISC, F.col("n"))).alias("least"))
-    todo = state.where((F.col("most") > options.max_size) | (F.col("k") > 1) & (F.col("least") < options.min_size)).select("graph_id")
-    fine, members = labelled.join(todo, "graph_id", "left_anti"), labelled.join(todo, "graph_id", "left_semi")
+    state = sizes.groupBy("graph_id").agg(F.count("*").alias("k"), F.sum("n").alias("nodes"), F.max("n").alias("most"), F.min(F.when(F.col("cluster_name") != MISC, F.col("n"))).alias("least"))
+    todo = cut(state.where((F.col("most") > options.max_size) | (F.col("k") > 1) & (F.col("least") < options.min_size)).select("graph_id", "nodes"))
+    small, large = todo.where(F.col("nodes") <= options.one_task_nodes), todo.where(F.col("nodes") > options.one_task_nodes)
+    fine, members = labelled.join(todo, "graph_id", "left_anti"), labelled.join(small, "graph_id", "left_semi")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         local, nodes = _local(frame, options)
@@ -144,7 +152,88 @@ def refined(p: Prepared, labelled: DataFrame, options: SplitOptions) -> tuple[Da
         return _tagged(frame["graph_id"].iloc[0], out, local.decisions, "r")
 
     tagged = cut(_rows_for(members, p, ["graph_id"]).groupBy("graph_id").applyInPandas(work, _TAGGED))
-    return fine.unionByName(_clusters(tagged)), _decided(tagged, "refine")
+    found, decided = fine.unionByName(_clusters(tagged)), _decided(tagged, "refine")
+    if large.isEmpty():
+        return found, decided
+    more, made = _refined_by_rounds(p, labelled.join(large, "graph_id", "left_semi"), options)
+    return found.unionByName(more), decided.unionByName(made)
+
+
+_PLACED = ["graph_id", "pos", "cluster_name", "stuck", "alias"]
+
+
+def _split_round(p: Prepared, members: DataFrame, options: SplitOptions) -> tuple[DataFrame, DataFrame]:
+    """Clusters above max_size that aren't known to be stuck are split, each in a task; parts take their cluster's place."""
+    n = F.count("*").over(Window.partitionBy("graph_id", "pos"))
+    sized = members.withColumn("n", n)
+    over = (F.col("n") > options.max_size) & ~F.col("stuck")
+
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
+        local, nodes = _local(frame, options)
+        stuck: set[tuple[str, ...]] = set()
+        whole = (nodes["cluster_name"].iloc[0], sorted(nodes["alias"], key=str.encode))
+        parts = split_large([whole], options.max_size, local.strategy(options.strategy), stuck)
+        rows = [(int(frame["pos"].iloc[0]), k, name, tuple(ms) in stuck, m) for k, (name, ms) in enumerate(parts) for m in ms]
+        out = pd.DataFrame(rows, columns=["pos", "part", "cluster_name", "stuck", "alias"])
+        out["part"] = out["part"].astype("Int64")
+        out = pd.concat([out, pd.DataFrame(local.decisions, columns=_CHOICE)])
+        return out.assign(graph_id=frame["graph_id"].iloc[0])
+
+    choice = _TAGGED[_TAGGED.index("chosen") :]
+    rows = _rows_for(sized.where(over).select("graph_id", "pos", "cluster_name", "alias"), p, ["graph_id", "pos"])
+    made = cut(rows.groupBy("graph_id", "pos").applyInPandas(split, f"graph_id string, pos int, part int, cluster_name string, stuck boolean, alias string, {choice}"))
+    parts = made.where("alias IS NOT NULL").select("graph_id", "pos", "part", "cluster_name", "stuck", "alias")
+    joined = sized.where(~over).select("graph_id", "pos", F.lit(0).alias("part"), "cluster_name", "stuck", "alias").unionByName(parts)
+    place = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("pos", "part")) - 1
+    return cut(joined.withColumn("pos", place).select(*_PLACED)), made.where("alias IS NULL").select("graph_id", F.lit("refine").alias("stage"), *_CHOICE)
+
+
+def _merge_round(p: Prepared, members: DataFrame, options: SplitOptions) -> DataFrame:
+    """Small clusters are merged on the quotient graph: a row a cluster and a row a pair of clusters."""
+    of = lambda c, pos: members.select("graph_id", F.col("alias").alias(c), F.col("pos").alias(pos))
+    apart = p.adj.join(of("u", "pos"), ["graph_id", "u"]).join(of("v", "other"), ["graph_id", "v"]).where("pos <> other")
+    links = apart.groupBy("graph_id", "pos", "other").agg(F.count("*").alias("n"), F.min(F.struct("u", "v")).alias("first"))
+    clusters = members.groupBy("graph_id", "pos", "cluster_name").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    rows = clusters.select("graph_id", "pos", F.lit(-1).alias("other"), "n", "cluster_name", none.alias("u"), none.alias("v"))
+    rows = rows.unionByName(links.select("graph_id", "pos", "other", "n", none.alias("cluster_name"), "first.u", "first.v"))
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        heads = frame[frame["other"] < 0].sort_values("pos")
+        between: list[dict] = [{} for _ in range(len(heads))]
+        for r in frame[frame["other"] >= 0].itertuples():
+            between[r.pos][r.other] = (int(r.n), (r.u.encode(), r.v.encode()))
+        merged = merge_quotient(heads["cluster_name"].tolist(), heads["n"].tolist(), between, options.min_size, options.max_size)
+        rows = [(frame["graph_id"].iloc[0], old, new, name, len(olds) > 1) for new, (name, olds) in enumerate(merged) for old in olds]
+        return pd.DataFrame(rows, columns=["graph_id", "pos", "to", "name", "grown"])
+
+    moved = rows.groupBy("graph_id").applyInPandas(merge, "graph_id string, pos int, to int, name string, grown boolean")
+    return cut(members.join(moved, ["graph_id", "pos"]).select("graph_id", F.col("to").alias("pos"), F.col("name").alias("cluster_name"), (F.col("stuck") & ~F.col("grown")).alias("stuck"), "alias"))
+
+
+def _refined_by_rounds(p: Prepared, labelled: DataFrame, options: SplitOptions) -> tuple[DataFrame, DataFrame]:
+    """refine for graphs that no one task should hold: a graph leaves the rounds when it is within bounds or a round has changed nothing."""
+    start = numbered(labelled).select("graph_id", (F.col("cluster_id") - 1).alias("pos"), "cluster_name", F.lit(False).alias("stuck"), "alias")
+    members, before, done, decisions = cut(start), None, None, None
+    for k in range(ROUNDS):
+        members, made = _split_round(p, members, options)
+        members = _merge_round(p, members, options)
+        decisions = made if decisions is None else decisions.unionByName(made)
+        clusters = members.groupBy("graph_id", "pos", "cluster_name").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("alias")).alias("x"))
+        kind = F.xxhash64("cluster_name", "n", "x")
+        now = cut(clusters.groupBy("graph_id").agg(F.max("n").alias("most"), F.count("*").alias("k"), F.bit_xor(kind).alias("kinds")))
+        over = now.where(F.col("most") <= options.max_size).select("graph_id")
+        if before is not None:
+            over = over.union(now.join(before, ["graph_id", "most", "k", "kinds"]).select("graph_id")).distinct()
+        if k == ROUNDS - 1:
+            over = now.select("graph_id")
+        left = members.join(over, "graph_id", "left_semi")
+        done = left if done is None else done.unionByName(left)
+        members, before = cut(members.join(over, "graph_id", "left_anti")), now
+        if members.isEmpty():
+            break
+    key = F.concat(F.lit("r|"), F.col("pos").cast("string"))
+    return done.select("graph_id", key.alias("cluster_key"), "cluster_name", "alias"), decisions
 
 
 def _listed(rows: DataFrame) -> tuple[int, str]:
@@ -199,12 +288,9 @@ def partition_by_map(classes: DataFrame, relations: DataFrame, mapping: MapFile,
     found = cut(hubs.detect(p.degrees, options, mapped))
     labelled = mapped.select("graph_id", F.concat(F.lit("m|"), "cluster_name").alias("cluster_key"), "cluster_name", "alias")
     outside = labelled.groupBy("graph_id", "cluster_name").agg(F.count("*").alias("n")).where((F.col("n") < options.min_size) | (F.col("n") > options.max_size))
-    shown = outside.orderBy("graph_id", "cluster_name").limit(LISTED).collect()
-    for r in shown:
+    # The map, and with it the number of its clusters, is in the driver already.
+    for r in outside.orderBy("graph_id", "cluster_name").toLocalIterator():
         warnings.append(f'Mapped cluster "{r["cluster_name"]}" has {r["n"]} member(s), outside [{options.min_size}, {options.max_size}]; it is left as mapped.')
-    n = outside.count() if len(shown) == LISTED else len(shown)
-    if n > len(shown):
-        warnings.append(f"{n - len(shown)} more mapped cluster(s) are outside [{options.min_size}, {options.max_size}]; all are left as mapped.")
     taken = mapped.select("graph_id", "alias").unionByName(found.select("graph_id", "alias"))
     rest = cut(p.degrees.select("graph_id", "alias").join(taken, ["graph_id", "alias"], "left_anti"))
     decisions = spark.createDataFrame([], schema.DECISIONS)
@@ -246,9 +332,8 @@ def partition_by_seeds(classes: DataFrame, relations: DataFrame, options: SplitO
         if seeds.isEmpty():
             most = p.degrees.join(found, ["graph_id", "alias"], "left_anti").agg(F.max("out_degree")).first()[0] or 0
             raise PartitionError(f"No seed has an out-degree of {options.seed_threshold} or more; the highest is {most}.")
-    dist = bfs.distances(p.adj, seeds, found)
     nodes = p.degrees.join(found.select("graph_id", "alias"), ["graph_id", "alias"], "left_anti")
-    near = bfs.nearest_seed(nodes, p.adj, dist)
+    near = bfs.nearest_seed(nodes, p.adj, seeds, found)
     labelled = near.select("graph_id", F.concat(F.lit("z|"), "seed").alias("cluster_key"), F.col("seed").alias("cluster_name"), "alias")
     labelled, decisions = refined(p, labelled, options)
     return _finish(p, found, labelled, decisions, options, warnings)
