@@ -68,32 +68,37 @@ def replace_names(content: str, names: dict[str, str]) -> str:
     return pattern.sub(lambda m: names[m[0]], content)
 
 
-def scrub_members(content: str) -> str:
-    """Bodies are replaced by made-up members: one for each class depended on, or a plain accessor; those of enums by nothing."""
-    used: dict[str, list[str]] = {}
-    for line in content.split("\n"):
-        m = re.match(r"^\s*(\S+)\s+\.\.>\s+(\S+)", line)
-        if m:
-            used.setdefault(m[1], []).append(m[2])
-    out, inside = [], False
-    for line in content.split("\n"):
-        if inside:
-            if line.rstrip("\r").strip() == "}":
-                inside = False
-                out.append(line)
-            continue
-        out.append(line)
-        m = re.match(r'^(\s*)(abstract class|class|interface|enum)\s+"[^"]*"\s+as\s+(\S+)\s*\{\s*$', line)
-        if not m:
-            continue
-        inside = True
-        if m[2] == "enum":
-            continue
-        fields = [f"attr{k}" for k in range(1, len(used.get(m[3], ())) + 1)]
-        members = [f"+{f} : ?{t}" for f, t in zip(fields, used.get(m[3], ()), strict=True)]
-        members.append(f"+__construct({', '.join(fields)})" if fields else "+getElementName(elementType)")
-        out += [f"{m[1]}  {x}" for x in members]
-    return "\n".join(out)
+#: A declaration that opens a body on its own line: indent, keyword and alias.
+OPENING = r'^(\s*)(abstract class|class|interface|enum)\s+"[^"]*"\s+as\s+(\S+?)\s*\{\s*$'
+DEPENDS = r"^\s*(\S+)\s+\.\.>\s+(\S+)"
+
+
+def scrub_members(documents: DataFrame) -> DataFrame:
+    """(graph_id, content) with made-up bodies: an attribute for each class depended on, and a constructor of them, or a plain accessor; nothing in enums.
+
+    Over the table of lines: the last opening or closing line before a line
+    says whether it is in a body.  Those in bodies go, and the line that opens
+    one brings what its block gets.
+    """
+    lines = documents.select("graph_id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "text"))
+    text = F.col("text")
+    event = F.when(F.trim(F.regexp_replace(text, r"[\t\r\x0B\x00]", " ")) == "}", "close").when(text.rlike(OPENING), "open")
+    earlier = Window.partitionBy("graph_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumn("event", event).withColumn("inside", F.coalesce(F.last("event", True).over(earlier) == "open", F.lit(False)))
+    kept = marked.where(~F.col("inside") | (F.col("event") == "close"))
+    opens = ~F.col("inside") & (F.coalesce("event", F.lit("")) == "open")
+    kept = kept.withColumn("owner", F.when(opens & (F.regexp_extract(text, OPENING, 2) != "enum"), F.regexp_extract(text, OPENING, 3)))
+    uses = lines.where(text.rlike(DEPENDS)).select("graph_id", "pos", F.regexp_extract(text, DEPENDS, 1).alias("owner"), F.regexp_extract(text, DEPENDS, 2).alias("target"))
+    uses = uses.groupBy("graph_id", "owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]).alias("targets"))
+    attributes = F.transform("targets", lambda t, k: F.concat(F.lit("attr"), (k + 1).cast("string")))
+    typed = F.transform("targets", lambda t, k: F.concat(F.lit("+attr"), (k + 1).cast("string"), F.lit(" : ?"), t))
+    made = F.concat(typed, F.array(F.concat(F.lit("+__construct("), F.array_join(attributes, ", "), F.lit(")"))))
+    body = F.when(F.col("owner").isNotNull(), F.coalesce(made, F.array(F.lit("+getElementName(elementType)"))))
+    indent = F.concat(F.regexp_extract(text, OPENING, 1), F.lit("  "))
+    block = F.concat(F.array("text"), F.coalesce(F.transform(body, lambda m: F.concat(indent, m)), F.array().cast("array<string>")))
+    blocks = kept.join(uses, ["graph_id", "owner"], "left").select("graph_id", F.struct("pos", block.alias("lines")).alias("block"))
+    whole = blocks.groupBy("graph_id").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    return whole.select("graph_id", F.array_join(F.flatten(F.transform("blocks", lambda b: b["lines"])), "\n").alias("content"))
 
 
 def anonymize(documents: DataFrame, scrub: bool = False) -> DataFrame:
@@ -106,9 +111,10 @@ def anonymize(documents: DataFrame, scrub: bool = False) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [replace_names(c, dict(m) if m is not None else {}) for c, m in zip(frame["content"], frame["names"], strict=True)]
-            yield pd.DataFrame({"graph_id": frame["graph_id"], "content": [scrub_members(c) if scrub else c for c in out]})
+            yield pd.DataFrame({"graph_id": frame["graph_id"], "content": out})
 
     made = documents.join(maps, "graph_id", "left").select("graph_id", "content", "names").mapInPandas(run, "graph_id string, content string")
+    made = scrub_members(made) if scrub else made
     verify(documents, made)
     return made
 

@@ -9,16 +9,21 @@ from lattica.options import MISC
 from lattica.session import cut
 
 
+def _open(adj: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    """The adjacency without what touches a blocked alias."""
+    if blocked is not None:
+        for c in ("u", "v"):
+            adj = adj.join(blocked.select("graph_id", F.col("alias").alias(c)).distinct(), ["graph_id", c], "left_anti")
+    return adj.select("graph_id", "u", "v")
+
+
 def distances(adj: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(graph_id, seed, alias, dist): hops from each seed to all it reaches, through no blocked alias.
 
     A round joins the frontier with the adjacency and drops what the seed has
     reached before; it ends with an empty frontier.
     """
-    if blocked is not None:
-        for c in ("u", "v"):
-            adj = adj.join(blocked.select("graph_id", F.col("alias").alias(c)).distinct(), ["graph_id", c], "left_anti")
-    adj = cut(adj.select("graph_id", "u", "v"))
+    adj = cut(_open(adj, blocked))
     frontier = cut(seeds.select("graph_id", "alias").distinct().select("graph_id", F.col("alias").alias("seed"), "alias", F.lit(0).alias("dist")))
     reached, hops = frontier, 0
     while True:
@@ -30,17 +35,29 @@ def distances(adj: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None
         reached = cut(reached.unionByName(frontier))
 
 
-def nearest_seed(nodes: DataFrame, adj: DataFrame, dist: DataFrame) -> DataFrame:
+def nearest_seed(nodes: DataFrame, adj: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(graph_id, alias, seed, dist): the nearest seed; ties to the one that more neighbours a hop nearer have, then to the least alias.
 
-    What no seed reaches goes to `misc`, with no distance.
+    All seeds start at once and a node is reached once, by the seeds that tie
+    at its least distance, each with the number of neighbours it came by: these
+    have the same seed a hop nearer, or the node would be nearer itself.  So
+    rows grow with the nodes, not with seeds times nodes.  What no seed reaches
+    goes to `misc`, with no distance.
     """
-    prior = dist.select("graph_id", "seed", F.col("alias").alias("v"), F.col("dist").alias("d"))
-    steps = adj.select("graph_id", F.col("u").alias("alias"), "v").join(prior, ["graph_id", "v"])
-    before = steps.join(dist, ["graph_id", "seed", "alias"]).where("d = dist - 1").groupBy("graph_id", "seed", "alias").agg(F.count("*").alias("before"))
-    rank = F.row_number().over(Window.partitionBy("graph_id", "alias").orderBy("dist", F.desc("before"), "seed"))
-    best = dist.join(before, ["graph_id", "seed", "alias"], "left").withColumn("before", F.coalesce("before", F.lit(0))).withColumn("rank", rank).where("rank = 1")
-    return nodes.select("graph_id", "alias").join(best.select("graph_id", "alias", "seed", "dist"), ["graph_id", "alias"], "left").select("graph_id", "alias", F.coalesce("seed", F.lit(MISC)).alias("seed"), "dist")
+    adj = cut(_open(adj, blocked))
+    starts = seeds.select("graph_id", "alias").distinct()
+    frontier = cut(starts.select("graph_id", "alias", F.col("alias").alias("seed"), F.lit(0).cast("long").alias("before"), F.lit(0).alias("dist")))
+    reached, hops = frontier, 0
+    while True:
+        hops += 1
+        step = frontier.select("graph_id", "seed", F.col("alias").alias("u")).join(adj, ["graph_id", "u"])
+        step = step.join(reached.select("graph_id", F.col("alias").alias("v")).distinct(), ["graph_id", "v"], "left_anti")
+        frontier = cut(step.groupBy("graph_id", F.col("v").alias("alias"), "seed").agg(F.count("*").alias("before")).withColumn("dist", F.lit(hops)))
+        if frontier.isEmpty():
+            break
+        reached = cut(reached.unionByName(frontier))
+    best = reached.groupBy("graph_id", "alias").agg(F.min(F.struct("dist", (-F.col("before")).alias("b"), "seed")).alias("x")).select("graph_id", "alias", "x.seed", "x.dist")
+    return nodes.select("graph_id", "alias").join(best, ["graph_id", "alias"], "left").select("graph_id", "alias", F.coalesce("seed", F.lit(MISC)).alias("seed"), "dist")
 
 
 def auto_seeds(degrees: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:

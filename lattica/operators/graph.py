@@ -43,10 +43,3 @@ def name_by_out_degree(membership: DataFrame, degrees: DataFrame, by: str) -> Da
     joined = membership.join(degrees.select("graph_id", "alias", "out_degree"), ["graph_id", "alias"], "left")
     first = F.struct((-F.coalesce("out_degree", F.lit(0))).alias("d"), F.col("alias"))
     return joined.groupBy("graph_id", by).agg(F.min(first).alias("m")).select("graph_id", by, F.col("m.alias").alias("cluster_name"))
-
-
-def induced(adj: DataFrame, members: DataFrame) -> DataFrame:
-    """Adjacency with both ends in members."""
-    u = members.select("graph_id", F.col("alias").alias("u")).distinct()
-    v = members.select("graph_id", F.col("alias").alias("v")).distinct()
-    return adj.join(u, ["graph_id", "u"], "left_semi").join(v, ["graph_id", "v"], "left_semi").select("graph_id", "u", "v")

@@ -28,10 +28,3 @@ def detect(degrees: DataFrame, options: SplitOptions, excluded: DataFrame | None
 
 def pure_out(hubs: DataFrame) -> DataFrame:
     return hubs.where((F.col("reason") == "out") & ~F.col("forced"))
-
-
-def without(rows: DataFrame, hubs: DataFrame, *columns: str) -> DataFrame:
-    """rows none of whose columns names a hub of their graph."""
-    for c in columns:
-        rows = rows.join(hubs.select("graph_id", F.col("alias").alias(c)), ["graph_id", c], "left_anti")
-    return rows
