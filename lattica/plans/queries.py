@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +21,9 @@ ORACLES: dict[str, str] = {}
 
 # --- SQL pieces -----------------------------------------------------------------
 
-_TRADE = "SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'"
-_TRADE_ALL = "SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target FROM lineitem"
-_COORDER = "SELECT 'P' || a.l_partkey AS source, 'P' || b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_quantity >= 45 AND b.l_quantity >= 45"
+_TRADE = "SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target FROM lineitem"
+_COORDER = "SELECT 'P' || a.l_partkey AS source, 'P' || b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber"
+_LINKS = "SELECT 'H' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages"
 _ORDERS = "SELECT 'O' || o_orderkey AS source, 'C' || o_custkey AS target FROM orders"
 _GEO = "SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation"
 _STEPS = "SELECT DISTINCT 'U' || user_id AS source, 'U' || next AS target FROM (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS next FROM events WHERE event_type = 'purchase') WHERE next IS NOT NULL"
@@ -54,9 +52,11 @@ def _prefix_sql(max_size: int) -> str:
 
 
 _MEMBERS = "heads AS (SELECT cluster_name, CAST(row_number() OVER (ORDER BY cluster_name) AS INTEGER) AS cluster_id FROM (SELECT DISTINCT cluster_name FROM pc)), mem AS (SELECT alias, cluster_id, cluster_name FROM pc JOIN heads USING (cluster_name))"
-_HUBS5 = "hub AS (SELECT alias, in_degree, out_degree, CASE WHEN in_degree >= 4 AND out_degree >= 7 THEN 'in+out' WHEN in_degree >= 4 THEN 'in' ELSE 'out' END AS reason FROM nodes WHERE in_degree >= 4 OR out_degree >= 7)"
+#: Parts have 30 lines and suppliers 600, more or less, at every scale: the tails of both are the hubs of the trade graph, and what is left is one large component.
+_HUBS = {"hub_threshold": 40, "hub_out_threshold": 660}
+_IS_HUB = f"(in_degree >= {_HUBS['hub_threshold']} OR out_degree >= {_HUBS['hub_out_threshold']})"
+_HUB = f"hub AS (SELECT alias, in_degree, out_degree, CASE WHEN in_degree >= {_HUBS['hub_threshold']} AND out_degree >= {_HUBS['hub_out_threshold']} THEN 'in+out' WHEN in_degree >= {_HUBS['hub_threshold']} THEN 'in' ELSE 'out' END AS reason FROM nodes WHERE {_IS_HUB})"
 _CLASSIFIED = "cl AS (SELECT r.source, r.target, a.cluster_id AS fc, b.cluster_id AS tc, CASE WHEN a.cluster_id IS NULL OR b.cluster_id IS NULL THEN 'hub' WHEN a.cluster_id = b.cluster_id THEN 'internal' ELSE 'inter' END AS kind FROM rel r LEFT JOIN mem a ON a.alias = r.source LEFT JOIN mem b ON b.alias = r.target)"
-_OPTIONS = SplitOptions(max_size=10, min_size=3, hub_threshold=4, hub_out_threshold=7, strategy="prefix")
 
 
 def _add(name: str, query: Query, sql: str | None = None) -> None:
@@ -73,8 +73,7 @@ def _graph(adapter) -> Callable[[SparkSession, str], plans.Prepared]:
     return make
 
 
-_all, _co, _co_whole, _orders, _geo, _steps = (_graph(a) for a in (adapters.trade_all, adapters.coorder, adapters.coorder_whole, adapters.orders, adapters.geo, adapters.steps))
-
+_all, _co, _orders, _geo, _steps, _links = (_graph(a) for a in (adapters.trade, adapters.coorder, adapters.orders, adapters.geo, adapters.steps, adapters.links))
 
 
 @dataclass(frozen=True)
@@ -82,28 +81,24 @@ class _Source:
     """A graph of suppliers and parts, and the options it is split with."""
 
     adapter: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
-    split: SplitOptions = SplitOptions()
-    prefix: SplitOptions = _OPTIONS
-    seed_threshold: int = 7
-    seed_split_threshold: int = 4
+    split: SplitOptions
+    prefix: SplitOptions
+    seed_threshold: int
 
     def make(self, spark: SparkSession, sf_dir: str) -> plans.Prepared:
         return _graph(self.adapter)(spark, sf_dir)
 
 
-#: Lines of quantity 50 that came back; and all lines, where only the tail of the degrees are hubs, so what is left is one large component.
-_SOME = _Source(adapters.trade)
-_WHOLE_HUBS = {"hub_threshold": 40, "hub_out_threshold": 660}
-_WHOLE = _Source(adapters.trade_whole, SplitOptions(**_WHOLE_HUBS), SplitOptions(max_size=10, min_size=3, strategy="prefix", **_WHOLE_HUBS), 640, 640)
+_TRADES = _Source(adapters.trade, SplitOptions(**_HUBS), SplitOptions(max_size=10, min_size=3, strategy="prefix", **_HUBS), 640)
 
 # --- graph ----------------------------------------------------------------------
 
-_add("graph_nodes", lambda s, d: _all(s, d).degrees.select("graph_id", "alias"), _with(_TRADE_ALL) + "SELECT 'trade_all' AS graph_id, alias FROM nodes")
-_add("graph_degrees", lambda s, d: _all(s, d).degrees, _with(_TRADE_ALL) + "SELECT 'trade_all' AS graph_id, alias, in_degree, out_degree FROM nodes")
+_add("graph_nodes", lambda s, d: _all(s, d).degrees.select("graph_id", "alias"), _with(_TRADE) + "SELECT 'trade' AS graph_id, alias FROM nodes")
+_add("graph_degrees", lambda s, d: _all(s, d).degrees, _with(_TRADE) + "SELECT 'trade' AS graph_id, alias, in_degree, out_degree FROM nodes")
 _add("graph_adjacency", lambda s, d: _co(s, d).adj, _with(_COORDER) + "SELECT 'coorder' AS graph_id, u, v FROM adj")
 _add("graph_neighbours", lambda s, d: graph.neighbours(_co(s, d).adj).select("graph_id", "alias", F.array_join("neighbours", ",").alias("neighbours")), _with(_COORDER) + "SELECT 'coorder' AS graph_id, u AS alias, string_agg(v, ',' ORDER BY v) AS neighbours FROM adj GROUP BY u")
 for _k, _c in (("in", "in_degree"), ("out", "out_degree")):
-    _add(f"graph_topk_{_k}", lambda s, d, c=_c: graph.top_by(_all(s, d).degrees, c, 10), _with(_TRADE_ALL) + f"SELECT * FROM (SELECT 'trade_all' AS graph_id, alias, {_c} AS degree, CAST(row_number() OVER (ORDER BY {_c} DESC, alias) AS INTEGER) AS rank FROM nodes) WHERE rank <= 10")
+    _add(f"graph_topk_{_k}", lambda s, d, c=_c: graph.top_by(_all(s, d).degrees, c, 10), _with(_TRADE) + f"SELECT * FROM (SELECT 'trade' AS graph_id, alias, {_c} AS degree, CAST(row_number() OVER (ORDER BY {_c} DESC, alias) AS INTEGER) AS rank FROM nodes) WHERE rank <= 10")
 _add("graph_counts", lambda s, d: (lambda p: p.degrees.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.sum("out_degree").alias("n_relations")))(_geo(s, d)), _with(_GEO) + "SELECT 'geo' AS graph_id, count(*) AS n_nodes, CAST(sum(out_degree) AS BIGINT) AS n_relations FROM nodes")
 
 # --- hubs -----------------------------------------------------------------------
@@ -121,51 +116,71 @@ _add("hubs_default", lambda s, d: hubs.detect(_orders(s, d).degrees, SplitOption
 _add("hubs_forced_override", lambda s, d: hubs.detect(_steps(s, d).degrees, _FORCED), _with(_STEPS) + _hub_sql("steps", forced="(alias IN ('U1', 'U2'))", policy="CASE WHEN alias = 'U3' THEN 'duplicate' WHEN alias = 'U1' THEN 'separate' WHEN reason = 'out' THEN 'separate' ELSE 'exclude' END"))
 _add("hubs_excluded", lambda s, d: (lambda p: hubs.detect(p.degrees, SplitOptions(), p.degrees.where("alias LIKE 'N1%'")))(_geo(s, d)), _with(_GEO) + _hub_sql("geo", where="NOT alias LIKE 'N1%'"))
 
+_add("hubs_links", lambda s, d: hubs.detect(_links(s, d).degrees, SplitOptions()), _with(_LINKS) + _hub_sql("links"))
+_add("hubs_pure_out", lambda s, d: hubs.pure_out(hubs.detect(_links(s, d).degrees, SplitOptions())).select("graph_id", "alias"), _with(_LINKS) + "SELECT 'links' AS graph_id, alias FROM nodes WHERE in_degree < 8 AND out_degree >= 20")
+
 # --- components, distances, seeds -------------------------------------------------
 
 _REACH = "reach(a, b) AS (SELECT alias, alias FROM {0} UNION SELECT r.a, adj.v FROM reach r JOIN adj ON adj.u = r.b WHERE adj.v IN (SELECT alias FROM {0}))"
 _COMP = "comp AS (SELECT a AS alias, min(b) AS component FROM reach GROUP BY a)"
 
 
-def _components(make=None, excluded: bool = False) -> Query:
-    def run(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
-        p = (make or g.make)(s, d)
-        return components.connected(p.degrees, p.adj, hubs.detect(p.degrees, SplitOptions()) if excluded else None)
+def _components(make, excluded: SplitOptions | None = None) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        p = make(s, d)
+        return components.connected(p.degrees, p.adj, hubs.detect(p.degrees, excluded) if excluded else None)
 
     return run
 
 
-_add("components", _components(), _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, alias, component FROM comp")
-_add("components_minus_hubs", _components(_geo, True), _with(_GEO, "kept AS (SELECT alias FROM nodes WHERE in_degree < 8 AND out_degree < 20)", _REACH.format("kept"), _COMP, recursive=True) + "SELECT 'geo' AS graph_id, alias, component FROM comp")
-_add("component_sizes", lambda s, d, g=_SOME: components.component_sizes(_components()(s, d, g)), _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, component, count(*) AS size FROM comp GROUP BY component")
+_of_orders = _with(_ORDERS, _REACH.format("nodes"), _COMP, recursive=True)
+_add("components", _components(_orders), _of_orders + "SELECT 'orders' AS graph_id, alias, component FROM comp")
+_add("components_minus_hubs", _components(_geo, SplitOptions()), _with(_GEO, "kept AS (SELECT alias FROM nodes WHERE in_degree < 8 AND out_degree < 20)", _REACH.format("kept"), _COMP, recursive=True) + "SELECT 'geo' AS graph_id, alias, component FROM comp")
+_add("component_sizes", lambda s, d: components.component_sizes(_components(_orders)(s, d)), _of_orders + "SELECT 'orders' AS graph_id, component, count(*) AS size FROM comp GROUP BY component")
+#: What the least node reaches, and nodes without neighbours: any other node would come out null.
+_ONE = f"kept AS (SELECT alias FROM nodes WHERE NOT {_IS_HUB}), inner_adj AS (SELECT u, v FROM adj WHERE u IN (SELECT alias FROM kept) AND v IN (SELECT alias FROM kept)), hit(b) AS (SELECT min(u) FROM inner_adj UNION SELECT v FROM hit JOIN inner_adj ON u = b), comp AS (SELECT alias, CASE WHEN alias IN (SELECT b FROM hit) THEN (SELECT min(b) FROM hit) WHEN alias NOT IN (SELECT u FROM inner_adj) THEN alias END AS component FROM kept)"
+_add("components_large", lambda s, d: _components(_TRADES.make, _TRADES.split)(s, d), _with(_TRADE, _ONE, recursive=True) + "SELECT 'trade' AS graph_id, alias, component FROM comp")
 
 
-def _named(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
-    p = g.make(s, d)
+def _contracted(s: SparkSession, d: str) -> DataFrame:
+    """The same by contraction, as for graphs that no one task should hold."""
+    p = _TRADES.make(s, d)
+    return components.connected(p.degrees, p.adj, hubs.detect(p.degrees, _TRADES.split), small_graph=0)
+
+
+_add("components_contracted", _contracted, ORACLES["components_large"])
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    p = _orders(s, d)
     return graph.name_by_out_degree(components.connected(p.degrees, p.adj), p.degrees, "component")
 
 
-_add("graph_name_by_out_degree", _named, _with(_TRADE, _REACH.format("nodes"), _COMP, recursive=True) + "SELECT 'trade' AS graph_id, component, alias AS cluster_name FROM (SELECT component, alias, row_number() OVER (PARTITION BY component ORDER BY out_degree DESC, alias) AS k FROM comp JOIN nodes USING (alias)) WHERE k = 1")
+_add("graph_name_by_out_degree", _named, _of_orders + "SELECT 'orders' AS graph_id, component, alias AS cluster_name FROM (SELECT component, alias, row_number() OVER (PARTITION BY component ORDER BY out_degree DESC, alias) AS k FROM comp JOIN nodes USING (alias)) WHERE k = 1")
 
-_SEEDS = "seeds AS (SELECT alias, out_degree FROM nodes WHERE out_degree >= 7 AND NOT in_degree >= 8 AND NOT out_degree >= 20 AND alias <> 'misc')"
-_WALK = "kept AS (SELECT alias FROM nodes WHERE in_degree < 8 AND out_degree < 20), walk(seed, alias, dist) AS (SELECT alias, alias, 0 FROM seeds UNION SELECT w.seed, adj.v, w.dist + 1 FROM walk w JOIN adj ON adj.u = w.alias WHERE w.dist < 30 AND adj.v IN (SELECT alias FROM kept)), dist AS (SELECT seed, alias, CAST(min(dist) AS INTEGER) AS dist FROM walk GROUP BY seed, alias)"
+_SEEDS = f"seeds AS (SELECT alias, out_degree FROM nodes WHERE out_degree >= {_TRADES.seed_threshold} AND NOT {_IS_HUB} AND alias <> 'misc')"
+_WALK = f"kept AS (SELECT alias FROM nodes WHERE NOT {_IS_HUB}), walk(seed, alias, dist) AS (SELECT alias, alias, 0 FROM seeds UNION SELECT w.seed, adj.v, w.dist + 1 FROM walk w JOIN adj ON adj.u = w.alias WHERE w.dist < 12 AND adj.v IN (SELECT alias FROM kept)), dist AS (SELECT seed, alias, CAST(min(dist) AS INTEGER) AS dist FROM walk GROUP BY seed, alias)"
 _NEAR = "prior AS (SELECT d.seed, d.alias, d.dist, (SELECT count(*) FROM adj JOIN dist e ON e.alias = adj.v AND e.seed = d.seed WHERE adj.u = d.alias AND e.dist = d.dist - 1) AS before FROM dist d), best AS (SELECT seed, alias, dist FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY dist, before DESC, seed) AS k FROM prior) WHERE k = 1)"
 
 
-def _seeded(s: SparkSession, d: str, g: _Source = _SOME) -> tuple[plans.Prepared, DataFrame, DataFrame, DataFrame]:
+def _seeded(s: SparkSession, d: str, g: _Source = _TRADES) -> tuple[plans.Prepared, DataFrame, DataFrame]:
     p = plans.prepare(*g.adapter(s, d))
     found = hubs.detect(p.degrees, g.split)
-    seeds = bfs.auto_seeds(p.degrees, found, g.seed_threshold)
-    return p, found, seeds, bfs.distances(p.adj, seeds, found)
+    return p, found, bfs.auto_seeds(p.degrees, found, g.seed_threshold)
+
 
+def _distances(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
+    p, found, seeds = _seeded(s, d, g)
+    return bfs.distances(p.adj, seeds, found)
 
-def _nearest(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
-    p, found, _, dist = _seeded(s, d, g)
-    return bfs.nearest_seed(p.degrees.join(found.select("graph_id", "alias"), ["graph_id", "alias"], "left_anti"), p.adj, dist)
 
+def _nearest(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
+    p, found, seeds = _seeded(s, d, g)
+    return bfs.nearest_seed(p.degrees.join(found.select("graph_id", "alias"), ["graph_id", "alias"], "left_anti"), p.adj, seeds, found)
 
-_add("seeds_auto_select", lambda s, d, g=_SOME: (lambda p: bfs.auto_seeds(p.degrees, hubs.detect(p.degrees, g.split), g.seed_threshold))(g.make(s, d)), _with(_TRADE, _SEEDS) + "SELECT 'trade' AS graph_id, alias, out_degree FROM seeds")
-_add("bfs_distances", lambda s, d, g=_SOME: _seeded(s, d, g)[3], _with(_TRADE, _SEEDS, _WALK, recursive=True) + "SELECT 'trade' AS graph_id, seed, alias, dist FROM dist")
+
+_add("seeds_auto_select", lambda s, d, g=_TRADES: (lambda p: bfs.auto_seeds(p.degrees, hubs.detect(p.degrees, g.split), g.seed_threshold))(g.make(s, d)), _with(_TRADE, _SEEDS) + "SELECT 'trade' AS graph_id, alias, out_degree FROM seeds")
+_add("bfs_distances", _distances, _with(_TRADE, _SEEDS, _WALK, recursive=True) + "SELECT 'trade' AS graph_id, seed, alias, dist FROM dist")
 _add("nearest_seed", _nearest, _with(_TRADE, _SEEDS, _WALK, _NEAR, recursive=True) + "SELECT 'trade' AS graph_id, k.alias, coalesce(b.seed, 'misc') AS seed, b.dist FROM kept k LEFT JOIN best b ON b.alias = k.alias")
 
 
@@ -183,7 +198,7 @@ _add(
 # --- prefix, scalars ---------------------------------------------------------------
 
 
-def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _SOME) -> tuple[plans.Prepared, DataFrame, DataFrame]:
+def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _TRADES) -> tuple[plans.Prepared, DataFrame, DataFrame]:
     p = g.make(s, d)
     members = p.degrees.select("graph_id", "alias").join(p.classes.select("graph_id", "alias", "name"), ["graph_id", "alias"], "left")
     found = hubs.detect(p.degrees, g.prefix)
@@ -192,14 +207,14 @@ def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _S
     return p, prefix.prefix_clusters(members, 10), found
 
 
-def _membership(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _SOME) -> tuple[plans.Prepared, DataFrame, DataFrame]:
+def _membership(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _TRADES) -> tuple[plans.Prepared, DataFrame, DataFrame]:
     p, clusters, found = _prefixed(s, d, minus_hubs, g)
     return p, plans.numbered(clusters.select("graph_id", F.col("cluster_name").alias("cluster_key"), "cluster_name", "alias")), found
 
 
 _PC = (_prefix_sql(10), _MEMBERS)
-_PC_HUBS = (_HUBS5, _prefix_sql(10).replace("FROM nodes n LEFT JOIN", "FROM (SELECT * FROM nodes WHERE alias NOT IN (SELECT alias FROM hub)) n LEFT JOIN"), _MEMBERS)
-_add("prefix_clusters", lambda s, d, g=_SOME: _prefixed(s, d, g=g)[1].select("graph_id", "alias", "cluster_name"), _with(_TRADE, _prefix_sql(10)) + "SELECT 'trade' AS graph_id, alias, cluster_name FROM pc")
+_PC_HUBS = (_HUB, _prefix_sql(10).replace("FROM nodes n LEFT JOIN", "FROM (SELECT * FROM nodes WHERE alias NOT IN (SELECT alias FROM hub)) n LEFT JOIN"), _MEMBERS)
+_add("prefix_clusters", lambda s, d, g=_TRADES: _prefixed(s, d, g=g)[1].select("graph_id", "alias", "cluster_name"), _with(_TRADE, _prefix_sql(10)) + "SELECT 'trade' AS graph_id, alias, cluster_name FROM pc")
 _add(
     "prefix_tokens", lambda s, d: adapters.table(s, d, "part").select("p_partkey", F.array_join(text.tokens(F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.upper("p_brand"), F.lit("X1")), ), ",").alias("tokens")),
     f"SELECT p_partkey, array_to_string({_TOKENS.format('n')}, ',') AS tokens FROM (SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') || upper(p_brand) || 'X1' AS n FROM part)",
@@ -214,23 +229,23 @@ _add("html_escape", lambda s, d: adapters.table(s, d, "events").select("event_id
 # --- accounting -----------------------------------------------------------------------
 
 
-def _accounted(s: SparkSession, d: str, g: _Source = _SOME) -> tuple[DataFrame, DataFrame, plans.Prepared]:
+def _accounted(s: SparkSession, d: str, g: _Source = _TRADES) -> tuple[DataFrame, DataFrame, plans.Prepared]:
     p, membership, _ = _membership(s, d, True, g)
     return account.classify(p.relations, membership), membership, p
 
 
 _ACC = _with(_TRADE, *_PC_HUBS, _CLASSIFIED)
-_add("edge_accounting", lambda s, d, g=_SOME: account.summary(_accounted(s, d, g)[0]), _ACC + "SELECT 'trade' AS graph_id, count(*) FILTER (kind = 'internal') AS internal_edges, count(*) FILTER (kind = 'inter') AS inter_cluster_edges, count(*) FILTER (kind = 'hub') AS hub_edges, count(*) AS total_edges FROM cl")
+_add("edge_accounting", lambda s, d, g=_TRADES: account.summary(_accounted(s, d, g)[0]), _ACC + "SELECT 'trade' AS graph_id, count(*) FILTER (kind = 'internal') AS internal_edges, count(*) FILTER (kind = 'inter') AS inter_cluster_edges, count(*) FILTER (kind = 'hub') AS hub_edges, count(*) AS total_edges FROM cl")
 _add(
-    "cluster_stats", lambda s, d, g=_SOME: (lambda a: account.cluster_stats(a[0], a[1]))(_accounted(s, d, g)),
+    "cluster_stats", lambda s, d, g=_TRADES: (lambda a: account.cluster_stats(a[0], a[1]))(_accounted(s, d, g)),
     _ACC + "SELECT 'trade' AS graph_id, m.cluster_id, m.cluster_name, count(*) AS size, (SELECT count(*) FROM cl WHERE kind = 'internal' AND fc = m.cluster_id) AS internal_edges, (SELECT count(*) FROM cl WHERE kind = 'inter' AND (fc = m.cluster_id OR tc = m.cluster_id)) AS external_edges FROM mem m GROUP BY m.cluster_id, m.cluster_name",
 )
 _add(
-    "cluster_pair_counts", lambda s, d, g=_SOME: account.pair_counts(_accounted(s, d, g)[0]),
+    "cluster_pair_counts", lambda s, d, g=_TRADES: account.pair_counts(_accounted(s, d, g)[0]),
     _ACC + "SELECT 'trade' AS graph_id, from_cluster, to_cluster, n, CAST(CASE WHEN most <= 1 THEN 1 ELSE 1 + round(CAST(n - 1 AS DOUBLE) / (most - 1) * 3) END AS INTEGER) AS thickness FROM (SELECT fc AS from_cluster, tc AS to_cluster, count(*) AS n, max(count(*)) OVER () AS most FROM cl WHERE kind = 'inter' GROUP BY fc, tc)",
 )
-_add("cut_edges_prefix", lambda s, d, g=_SOME: (lambda m: account.cut_edges(m[0].adj, m[1]))(_membership(s, d, g=g)), _with(_TRADE, *_PC) + "SELECT 'trade' AS graph_id, count(*) FILTER (a.cluster_id <> b.cluster_id) AS cut FROM adj JOIN mem a ON a.alias = u JOIN mem b ON b.alias = v WHERE u < v")
-_add("oversized_clusters", lambda s, d, g=_SOME: (lambda a: account.oversized(account.cluster_stats(a[0], a[1]), 5))(_accounted(s, d, g)), _ACC + ", sz AS (SELECT cluster_id, cluster_name, count(*) AS size FROM mem GROUP BY ALL HAVING count(*) > 5) SELECT 'trade' AS graph_id, count(*) AS n_oversized, arg_min(cluster_name, (-size) * 100000 + cluster_id) AS largest_name, max(size) AS largest_size FROM sz HAVING count(*) > 0")
+_add("cut_edges_prefix", lambda s, d, g=_TRADES: (lambda m: account.cut_edges(m[0].adj, m[1]))(_membership(s, d, g=g)), _with(_TRADE, *_PC) + "SELECT 'trade' AS graph_id, count(*) FILTER (a.cluster_id <> b.cluster_id) AS cut FROM adj JOIN mem a ON a.alias = u JOIN mem b ON b.alias = v WHERE u < v")
+_add("oversized_clusters", lambda s, d, g=_TRADES: (lambda a: account.oversized(account.cluster_stats(a[0], a[1]), 5))(_accounted(s, d, g)), _ACC + ", sz AS (SELECT cluster_id, cluster_name, count(*) AS size FROM mem GROUP BY ALL HAVING count(*) > 5) SELECT 'trade' AS graph_id, count(*) AS n_oversized, arg_min(cluster_name, (-size) * 100000 + cluster_id) AS largest_name, max(size) AS largest_size FROM sz HAVING count(*) > 0")
 
 # --- maps -----------------------------------------------------------------------------
 
@@ -252,7 +267,7 @@ _add("map_repeats", lambda s, d: mapfile.repeats(_map_rows(s, d)), f"WITH {_MAP}
 # --- output tables ----------------------------------------------------------------------
 
 
-def _files(s: SparkSession, d: str, g: _Source = _SOME) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, plans.Prepared]:
+def _files(s: SparkSession, d: str, g: _Source = _TRADES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, plans.Prepared]:
     p, membership, found = _membership(s, d, True, g)
     members = render.files_of_members(membership, found)
     edges = render.file_edges(p.relations, members, found)
@@ -266,14 +281,14 @@ _FILES = _with(
     "fb AS (SELECT DISTINCT e.slug, x.alias FROM fe e, LATERAL (SELECT unnest([e.source, e.target]) AS alias) x WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.slug = e.slug AND fm.alias = x.alias))",
     "bd AS (SELECT fb.slug, fb.alias, CASE WHEN hub.reason <> 'out' THEN 'shared' ELSE 'external' END AS kind, CASE WHEN hub.reason <> 'out' THEN NULL ELSE coalesce(fm.slug, 'external') END AS home FROM fb LEFT JOIN hub ON hub.alias = fb.alias LEFT JOIN fm ON fm.alias = fb.alias)",
 )
-_add("edge_files", lambda s, d, g=_SOME: _files(s, d, g)[1].groupBy("graph_id", "slug", "source", "target").agg(F.count("*").alias("n")), _FILES + "SELECT 'trade' AS graph_id, slug, source, target, count(*) AS n FROM fe GROUP BY ALL")
-_add("boundary_stubs", lambda s, d, g=_SOME: _files(s, d, g)[2], _FILES + "SELECT 'trade' AS graph_id, slug, alias, kind, home FROM bd")
-_add("shared_hubs", lambda s, d, g=_SOME: _files(s, d, g)[0].where("title = 'shared-types'"), _FILES + "SELECT 'trade' AS graph_id, slug, 'shared-types' AS title, alias FROM fm WHERE slug = 'shared_types'")
-_add("palette", lambda s, d, g=_SOME: (lambda f: render.palette(f[1], f[0], f[2], "target"))(_files(s, d, g)), _FILES + "SELECT 'trade' AS graph_id, slug, key, CAST(row_number() OVER (PARTITION BY slug ORDER BY key) - 1 AS INTEGER) AS index FROM (SELECT slug, alias AS key FROM fm UNION SELECT slug, alias FROM fb)")
-_add("cluster_slugs", lambda s, d, g=_SOME: render.slugs(_membership(s, d, g=g)[1]).select("graph_id", "cluster_name", "slug"), _with(_TRADE, *_PC) + f"SELECT DISTINCT 'trade' AS graph_id, cluster_name, {_SLUG.format('cluster_name')} AS slug FROM mem")
+_add("edge_files", lambda s, d, g=_TRADES: _files(s, d, g)[1].groupBy("graph_id", "slug", "source", "target").agg(F.count("*").alias("n")), _FILES + "SELECT 'trade' AS graph_id, slug, source, target, count(*) AS n FROM fe GROUP BY ALL")
+_add("boundary_stubs", lambda s, d, g=_TRADES: _files(s, d, g)[2], _FILES + "SELECT 'trade' AS graph_id, slug, alias, kind, home FROM bd")
+_add("shared_hubs", lambda s, d, g=_TRADES: _files(s, d, g)[0].where("title = 'shared-types'"), _FILES + "SELECT 'trade' AS graph_id, slug, 'shared-types' AS title, alias FROM fm WHERE slug = 'shared_types'")
+_add("palette", lambda s, d, g=_TRADES: (lambda f: render.palette(f[1], f[0], f[2], "target"))(_files(s, d, g)), _FILES + "SELECT 'trade' AS graph_id, slug, key, CAST(row_number() OVER (PARTITION BY slug ORDER BY key) - 1 AS INTEGER) AS index FROM (SELECT slug, alias AS key FROM fm UNION SELECT slug, alias FROM fb)")
+_add("cluster_slugs", lambda s, d, g=_TRADES: render.slugs(_membership(s, d, g=g)[1]).select("graph_id", "cluster_name", "slug"), _with(_TRADE, *_PC) + f"SELECT DISTINCT 'trade' AS graph_id, cluster_name, {_SLUG.format('cluster_name')} AS slug FROM mem")
 
 
-def _overview_edges(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+def _overview_edges(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
     p, membership, _ = _membership(s, d, True, g)
     made = render.overview(p.relations, membership, SplitOptions(layout="none"))
     lines = made.select("graph_id", F.explode(F.split("content", "\n")).alias("line"))
@@ -317,19 +332,76 @@ _ARROWS = "CASE l_linenumber % 8 WHEN 0 THEN '..>' WHEN 1 THEN '.[#AA].>' WHEN 2
 _add("arrow_canonical", lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.base_arrow(F.expr(_ARROWS)).alias("arrow")), f"SELECT {_KEYED}, CASE l_linenumber % 8 WHEN 0 THEN '..>' WHEN 1 THEN '..>' WHEN 2 THEN '-->' WHEN 3 THEN 'o--' WHEN 4 THEN '*--' WHEN 5 THEN '<|--' WHEN 6 THEN '<|..' END AS arrow FROM lineitem")
 _add("arrow_styled", lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.style_arrow(F.expr(_ARROWS), F.lit("#336699"), F.lit(2)).alias("arrow")), f"SELECT {_KEYED}, CASE l_linenumber % 8 WHEN 0 THEN '.[#336699,thickness=2].>' WHEN 1 THEN '.[#336699,thickness=2].>' WHEN 2 THEN '-[#336699,thickness=2]->' WHEN 3 THEN 'o-[#336699,thickness=2]-' WHEN 4 THEN '*-[#336699,thickness=2]-' WHEN 5 THEN '<|-[#336699,thickness=2]--' WHEN 6 THEN '<|.[#336699,thickness=2]..' ELSE '==>' END AS arrow FROM lineitem")
 _add(
-    "write_relations", lambda s, d, g=_SOME: g.adapter(s, d)[1].select("source", "target", render.relation_line(F.col("source"), F.col("arrow"), F.col("target"), F.lit("sells"), F.lit("1"), F.lit(None).cast("string"), F.lit("#336699"), F.lit(None).cast("int")).alias("line")),
+    "write_relations", lambda s, d, g=_TRADES: g.adapter(s, d)[1].select("source", "target", render.relation_line(F.col("source"), F.col("arrow"), F.col("target"), F.lit("sells"), F.lit("1"), F.lit(None).cast("string"), F.lit("#336699"), F.lit(None).cast("int")).alias("line")),
     f"WITH rel AS ({_TRADE}) SELECT source, target, '  ' || source || ' \"1\" .[#336699].> ' || target || ' : sells' AS line FROM rel",
 )
 _add("write_declarations", lambda s, d: adapters.table(s, d, "part").select("p_partkey", render.with_body(render.head_line(F.lit("class"), F.col("p_name"), F.concat(F.lit("P"), "p_partkey"), F.lit("<<part>>"), F.lit("x.svg"), F.lit("#DDDDDD")), F.array(F.concat(F.lit("    "), "p_brand"))).alias("text")), "SELECT p_partkey, '  class \"' || replace(p_name, '\"', '''') || '\" as P' || p_partkey || ' <<part>> [[x.svg]] #DDDDDD {' || chr(10) || '    ' || p_brand || chr(10) || '  }' AS text FROM part")
 
 
-def _round_trip(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
-    """The trade graph written as a diagram, parsed again: what comes back."""
-    parsed = diagrams.parse(adapters.diagram_text(*g.adapter(s, d)))
+def _round_trip(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
+    """The trade graph as diagrams, one a supplier, parsed again: what comes back."""
+    classes, relations = g.adapter(s, d)
+    own = relations.withColumn("graph_id", F.col("source"))
+    ends = own.select("graph_id", F.explode(F.array("source", "target")).alias("alias")).distinct()
+    parsed = diagrams.parse(adapters.diagram_text(classes.drop("graph_id").join(ends, "alias").select(*classes.columns), own))
     return parsed.select("graph_id", F.size("classes").cast("long").alias("n_classes"), F.size("relations").cast("long").alias("n_relations"), F.size("warnings").cast("long").alias("n_warnings"))
 
 
-_add("diagram_round_trip", _round_trip, _with(_TRADE) + "SELECT 'trade' AS graph_id, (SELECT count(*) FROM nodes) AS n_classes, (SELECT count(*) FROM rel) AS n_relations, CAST(0 AS BIGINT) AS n_warnings")
+_add("diagram_round_trip", _round_trip, _with(_TRADE) + "SELECT source AS graph_id, count(DISTINCT target) + 1 AS n_classes, count(*) AS n_relations, CAST(0 AS BIGINT) AS n_warnings FROM rel GROUP BY source")
+
+# --- parser: documents whose every line depends on the lines before it -------------------------
+
+#: The lines of a document for each supplier, the same expressions in both engines, and by number what the parser makes of them.
+_DOCUMENT = [
+    "'before the start'",
+    "'@startuml S' || s_suppkey",
+    "'title Supplier ' || s_suppkey",  # 3: a header
+    "'legend right'",
+    "'class \"No\" as No'",
+    "'endlegend'",
+    "'package \"Nation ' || s_nationkey || '\" as N' || s_nationkey || ' {'",
+    "'  abstract class \"' || s_name || '\" as S' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ' <<external>>' ELSE ' <<supplier>>' END || ' [[x.svg]] #DDDDDD {'",
+    "'    +key'",
+    "'    +balance : ' || s_nationkey",
+    "'  }'",
+    "'}'",
+    "'enum \"E\" as E' || s_suppkey || ' {one}'",
+    "'interface \"I\" as I' || s_suppkey || ' odd words'",  # 14: a warning
+    "'class \"Again\" as S' || s_suppkey",  # 15: a warning
+    "'S' || s_suppkey || ' \"1\" ..> \"many\" E' || s_suppkey || ' : uses it'",
+    "'I' || s_suppkey || ' <|-- S' || s_suppkey",
+    "'not a line'",  # 18: passed through, with a warning
+    "'}'",  # 19: the same
+    "CASE WHEN s_suppkey % 3 = 0 THEN 'legend' WHEN s_suppkey % 3 = 1 THEN 'class \"Open\" as Open {' ELSE '' END",  # 20: what never ends
+    "'@enduml'",
+    "'class \"After\" as After'",
+]
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    content = F.expr(" || chr(10) || ".join(_DOCUMENT))
+    return diagrams.parse(adapters.table(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("graph_id"), content.alias("content")))
+
+
+_ID = "'S' || s_suppkey AS graph_id"
+_add(
+    "parsed_classes",
+    lambda s, d: diagrams.classes(_parsed(s, d)).select("graph_id", "alias", "name", "kind", F.array_join("body", "|").alias("body"), "package", "stereotype", "decl_line", diagrams.is_external(F.col("stereotype")).alias("external")),
+    f"SELECT {_ID}, 'S' || s_suppkey AS alias, s_name AS name, 'abstract class' AS kind, '    +key|    +balance : ' || s_nationkey AS body, 'Nation ' || s_nationkey AS package, CASE WHEN s_suppkey % 2 = 0 THEN '<<external>>' ELSE '<<supplier>>' END AS stereotype, 8 AS decl_line, s_suppkey % 2 = 0 AS external FROM supplier "
+    f"UNION ALL SELECT {_ID}, 'E' || s_suppkey, 'E', 'enum', 'one', NULL, NULL, 13, false FROM supplier UNION ALL SELECT {_ID}, 'I' || s_suppkey, 'I', 'interface', NULL, NULL, NULL, 14, false FROM supplier "
+    f"UNION ALL SELECT {_ID}, 'Open', 'Open', 'class', '', NULL, NULL, 20, false FROM supplier WHERE s_suppkey % 3 = 1",
+)
+_add(
+    "parsed_relations", lambda s, d: diagrams.relations(_parsed(s, d)).drop("raw"),
+    f"SELECT {_ID}, 0 AS rel_id, 'S' || s_suppkey AS source, '..>' AS arrow, 'E' || s_suppkey AS target, 'uses it' AS label, '1' AS src_mult, 'many' AS dst_mult FROM supplier UNION ALL SELECT {_ID}, 1, 'I' || s_suppkey, '<|--', 'S' || s_suppkey, NULL, NULL, NULL FROM supplier",
+)
+_add("parsed_headers", lambda s, d: _parsed(s, d).select("graph_id", "start_line", F.array_join("headers", "|").alias("headers")), f"SELECT {_ID}, '@startuml S' || s_suppkey AS start_line, 'title Supplier ' || s_suppkey AS headers FROM supplier")
+_add("parsed_passthrough", lambda s, d: diagrams.passthrough(_parsed(s, d)), f"SELECT {_ID}, 18 AS line_no, 'not a line' AS text FROM supplier UNION ALL SELECT {_ID}, 19, '}}' FROM supplier")
+_add(
+    "parsed_warnings", lambda s, d: diagrams.warnings(_parsed(s, d)),
+    f"SELECT {_ID}, seq, text FROM supplier, LATERAL (SELECT unnest([0, 1, 2, 3, 4]) AS seq, unnest(['Ignored trailing content after declaration on line 14: odd words', 'Duplicate alias \"S' || s_suppkey || '\" on line 15 ignored.', 'Unrecognized line 18: not a line', 'Unrecognized line 19: }}', "
+    "CASE s_suppkey % 3 WHEN 0 THEN 'Unterminated legend block starting near line 20.' WHEN 1 THEN 'Unterminated class body: reached @enduml before a closing brace near line 20.' END]) AS text) WHERE text IS NOT NULL",
+)
 
 # --- anonymiser ---------------------------------------------------------------------------
 
@@ -349,21 +421,38 @@ _add(
     f"WITH {_TM}, nm AS (SELECT alias AS name FROM decl UNION SELECT display FROM decl), pt AS (SELECT name, unnest({_TOKENS.format('name')}) AS token, generate_subscripts({_TOKENS.format('name')}, 1) AS pos FROM nm) SELECT 'parts' AS graph_id, name, string_agg(pseudonym, '' ORDER BY pos) AS new_name FROM pt JOIN named USING (token) GROUP BY name",
 )
 _add(
-    "degree_sequence", lambda s, d, g=_SOME: anonymize.degree_sequence(g.adapter(s, d)[1].select("graph_id", F.col("raw").alias("text"))).select("graph_id", "edges", F.array_join(F.transform("in_degrees", lambda x: x.cast("string")), ",").alias("in_degrees"), F.array_join(F.transform("out_degrees", lambda x: x.cast("string")), ",").alias("out_degrees")),
+    "degree_sequence", lambda s, d, g=_TRADES: anonymize.degree_sequence(g.adapter(s, d)[1].select("graph_id", F.col("raw").alias("text"))).select("graph_id", "edges", F.array_join(F.transform("in_degrees", lambda x: x.cast("string")), ",").alias("in_degrees"), F.array_join(F.transform("out_degrees", lambda x: x.cast("string")), ",").alias("out_degrees")),
     _with(_TRADE) + "SELECT 'trade' AS graph_id, CAST(sum(out_degree) AS BIGINT) AS edges, string_agg(CAST(in_degree AS VARCHAR), ',' ORDER BY in_degree) AS in_degrees, string_agg(CAST(out_degree AS VARCHAR), ',' ORDER BY out_degree) AS out_degrees FROM nodes",
 )
 
+_add("token_signature", lambda s, d: anonymize.token_signature(_declared(s, d)), f"WITH {_TM}, own AS (SELECT token, row_number() OVER (ORDER BY min(line_no * 1000 + pos)) - 1 AS id FROM cells WHERE k = 0 GROUP BY token) SELECT 'parts' AS graph_id, line_no, string_agg(CAST(id AS VARCHAR), '-' ORDER BY pos) AS signature FROM cells JOIN own USING (token) WHERE k = 0 GROUP BY line_no")
+
+#: A document for each nation, and what it is with made-up members; # stands for the nation's key.
+_WITH_MEMBERS = ["@startuml", 'class "A" as A# {', "  +old", '  class "X" as X {', "}", 'enum "E" as E# {', "  one", "}", '  interface "I" as I# {', "  +more", "  }", "A# ..> E#", "A# ..> I# : x", "@enduml"]
+_MADE_UP = ["@startuml", 'class "A" as A# {', "  +attr1 : ?E#", "  +attr2 : ?I#", "  +__construct(attr1, attr2)", "}", 'enum "E" as E# {', "}", '  interface "I" as I# {', "    +getElementName(elementType)", "  }", "A# ..> E#", "A# ..> I# : x", "@enduml"]
+
+
+def _text_of(lines: list[str]) -> str:
+    return " || chr(10) || ".join(f"replace('{line}', '#', CAST(n_nationkey AS STRING))" for line in lines)
+
+
+def _nation_documents(s: SparkSession, d: str) -> DataFrame:
+    return adapters.table(s, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("graph_id"), F.expr(_text_of(_WITH_MEMBERS)).alias("content"))
+
+
+_add("scrubbed_members", lambda s, d: anonymize.scrub_members(_nation_documents(s, d)), f"SELECT 'N' || n_nationkey AS graph_id, {_text_of(_MADE_UP)} AS content FROM nation")
+
 # --- splits: rows by their own rules, and invariants that SQL can state -----------------------
 
 
 def _split(strategy: str) -> Callable[..., plans.Partition]:
-    return lambda s, d, g=_SOME: plans.partition(*g.adapter(s, d), replace(g.split, strategy=strategy))
+    return lambda s, d, g=_TRADES: plans.partition(*g.adapter(s, d), replace(g.split, strategy=strategy))
 
 
 def _local_clusters(strategy: str) -> Query:
     """Communities of the components above 25 nodes, before refinement."""
 
-    def run(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+    def run(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
         p = plans.prepare(*g.adapter(s, d))
         found = hubs.detect(p.degrees, g.split)
         return plans.numbered(plans.component_clusters(p, found, replace(g.split, strategy=strategy))[0])
@@ -371,28 +460,35 @@ def _local_clusters(strategy: str) -> Query:
     return run
 
 
-def _seed_split(s: SparkSession, d: str, g: _Source = _SOME) -> plans.Partition:
-    return plans.partition_by_seeds(*g.adapter(s, d), replace(g.split, strategy="seeds", seed_threshold=g.seed_split_threshold))
+def _seed_split(s: SparkSession, d: str, g: _Source = _TRADES) -> plans.Partition:
+    return plans.partition_by_seeds(*g.adapter(s, d), replace(g.split, strategy="seeds", seed_threshold=g.seed_threshold))
 
 
-def _map_split(s: SparkSession, d: str, g: _Source = _SOME) -> plans.Partition:
+def _map_split(s: SparkSession, d: str, g: _Source = _TRADES) -> plans.Partition:
     mapping = mapfile.MapFile({"first": [f"S{k}" for k in range(1, 6)], "second": [f"S{k}" for k in range(6, 9)]}, "auto")
     return plans.partition_by_map(*g.adapter(s, d), mapping, replace(g.split, strategy="map"))
 
 
 _SPLITS = {"prefix": _split("prefix"), "louvain": _split("louvain"), "leiden": _split("leiden"), "auto": _split("auto"), "seeds": _seed_split}
 for _n, _m in _SPLITS.items():
-    _add(f"{_n}_partition", lambda s, d, g=_SOME, m=_m: m(s, d, g).membership)
-    _add(f"{_n}_cover", lambda s, d, g=_SOME, m=_m: m(s, d, g).membership.groupBy("graph_id", "alias").agg(F.count("*").alias("n")), _with(_TRADE) + "SELECT 'trade' AS graph_id, alias, CAST(1 AS BIGINT) AS n FROM nodes WHERE in_degree < 8 AND out_degree < 20")
-    _add(f"{_n}_conservation", lambda s, d, g=_SOME, m=_m: m(s, d, g).summary().select("graph_id", "total_edges", (F.col("internal_edges") + F.col("inter_cluster_edges") + F.col("hub_edges")).alias("accounted")), _with(_TRADE) + "SELECT 'trade' AS graph_id, count(*) AS total_edges, count(*) AS accounted FROM rel")
-_add("map_partition", lambda s, d, g=_SOME: _map_split(s, d, g).membership)
-_add("map_partition_mapped", lambda s, d, g=_SOME: _map_split(s, d, g).membership.where("cluster_name IN ('first', 'second')").select("cluster_name", "alias"), _with(_TRADE) + "SELECT CASE WHEN CAST(alias[2:] AS INTEGER) < 6 THEN 'first' ELSE 'second' END AS cluster_name, alias FROM nodes WHERE alias IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')")
+    _add(f"{_n}_partition", lambda s, d, g=_TRADES, m=_m: m(s, d, g).membership)
+    _add(f"{_n}_cover", lambda s, d, g=_TRADES, m=_m: m(s, d, g).membership.groupBy("graph_id", "alias").agg(F.count("*").alias("n")), _with(_TRADE) + "SELECT 'trade' AS graph_id, alias, CAST(1 AS BIGINT) AS n FROM nodes WHERE NOT " + _IS_HUB)
+    _add(f"{_n}_conservation", lambda s, d, g=_TRADES, m=_m: m(s, d, g).summary().select("graph_id", "total_edges", (F.col("internal_edges") + F.col("inter_cluster_edges") + F.col("hub_edges")).alias("accounted")), _with(_TRADE) + "SELECT 'trade' AS graph_id, count(*) AS total_edges, count(*) AS accounted FROM rel")
+_add("map_partition", lambda s, d, g=_TRADES: _map_split(s, d, g).membership)
+_add("map_partition_mapped", lambda s, d, g=_TRADES: _map_split(s, d, g).membership.where("cluster_name IN ('first', 'second')").select("cluster_name", "alias"), _with(_TRADE) + "SELECT CASE WHEN CAST(alias[2:] AS INTEGER) < 6 THEN 'first' ELSE 'second' END AS cluster_name, alias FROM nodes WHERE alias IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')")
+_add(
+    "prefix_split", lambda s, d: _local_clusters("prefix")(s, d).select("graph_id", "cluster_name", "alias"),
+    _with(_TRADE, _ONE, _prefix_sql(25).replace("FROM nodes n LEFT JOIN", "FROM (SELECT alias FROM hit JOIN nodes ON alias = b) n LEFT JOIN"), recursive=True)
+    + "SELECT 'trade' AS graph_id, cluster_name, alias FROM pc UNION ALL SELECT 'trade', alias, alias FROM kept WHERE alias NOT IN (SELECT b FROM hit)",
+)
 _add("louvain_clusters", _local_clusters("louvain"))
+_add("auto_clusters", _local_clusters("auto"))
 _add("leiden_clusters", _local_clusters("leiden"))
-_add("auto_decisions", lambda s, d, g=_SOME: _split("auto")(s, d, g).decisions)
+_add("refined_partition", lambda s, d, g=_TRADES: plans.partition(*g.adapter(s, d), replace(g.split, strategy="leiden", one_task_nodes=0)).membership)
+_add("auto_decisions", lambda s, d, g=_TRADES: _split("auto")(s, d, g).decisions)
 
 
-def _disconnected(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+def _disconnected(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
     """Leiden clusters whose induced graph is not connected: none."""
     p = g.make(s, d)
     members = _local_clusters("leiden")(s, d, g)
@@ -406,16 +502,16 @@ def _disconnected(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
 _add("leiden_disconnected_count", _disconnected, "SELECT CAST(0 AS BIGINT) AS n_disconnected")
 
 
-def _output(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+def _output(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
     options = replace(g.split, strategy="prefix")
     return render.output_files(plans.partition(*g.adapter(s, d), options), options)
 
 
 _add("output_files", _output)
-_add("index_page", lambda s, d, g=_SOME: (lambda p: render.index_page(p.classes, p.membership, p.hubs))(_split("prefix")(s, d, g)))
+_add("index_page", lambda s, d, g=_TRADES: (lambda p: render.index_page(p.classes, p.membership, p.hubs))(_split("prefix")(s, d, g)))
 
 
-def _output_parses(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
+def _output_parses(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
     """Warnings of parsing all cluster files again: none."""
     files = _output(s, d, g).where("file_name <> 'overview.puml'").select(F.col("file_name").alias("graph_id"), "content")
     return diagrams.parse(files).agg(F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("long").alias("n_warnings"))
@@ -424,30 +520,6 @@ def _output_parses(s: SparkSession, d: str, g: _Source = _SOME) -> DataFrame:
 _add("output_parses_clean", _output_parses, "SELECT CAST(0 AS BIGINT) AS n_warnings")
 
 
-# --- whole tables: the same queries over every line ---------------------------------------------
-
-
-def _whole_sql(sql: str) -> str | None:
-    """The SQL of a query, over all lines and with their thresholds; none for recursive SQL, which doesn't end on them in time."""
-    if "RECURSIVE" in sql:
-        return None
-    sql = sql.replace(_TRADE, _TRADE_ALL).replace("'trade' AS", "'trade_all' AS")
-    return re.sub(r"\b(in|out)_degree (>=|<) (?:4|7|8|20)\b", lambda m: f"{m[1]}_degree {m[2]} {_WHOLE_HUBS['hub_threshold' if m[1] == 'in' else 'hub_out_threshold']}", sql)
-
-
-_OF_SOURCE = [
-    "components", "component_sizes", "graph_name_by_out_degree", "bfs_distances", "nearest_seed", "prefix_clusters", "edge_accounting", "cluster_stats", "cluster_pair_counts", "cut_edges_prefix", "oversized_clusters",
-    "edge_files", "boundary_stubs", "shared_hubs", "palette", "cluster_slugs", "overview_edges", "write_relations", "diagram_round_trip", "degree_sequence", *[f"{n}_{what}" for n in _SPLITS for what in ("partition", "cover", "conservation")],
-    "map_partition", "map_partition_mapped", "louvain_clusters", "leiden_clusters", "auto_decisions", "leiden_disconnected_count", "output_files", "index_page", "output_parses_clean",
-]
-for _n in _OF_SOURCE:
-    _add(f"{_n}_whole", partial(QUERIES[_n], g=_WHOLE), _whole_sql(ORACLES.get(_n, "")))
-_add("seeds_auto_select_whole", partial(QUERIES["seeds_auto_select"], g=_WHOLE), _with(_TRADE_ALL) + f"SELECT 'trade_all' AS graph_id, alias, out_degree FROM nodes WHERE out_degree >= {_WHOLE.seed_threshold} AND NOT in_degree >= {_WHOLE_HUBS['hub_threshold']} AND NOT out_degree >= {_WHOLE_HUBS['hub_out_threshold']} AND alias <> 'misc'")
-_COORDER_WHOLE = _COORDER.partition(" WHERE ")[0]
-_add("graph_adjacency_whole", lambda s, d: _co_whole(s, d).adj, _with(_COORDER_WHOLE) + "SELECT 'coorder_all' AS graph_id, u, v FROM adj")
-_add("graph_neighbours_whole", lambda s, d: graph.neighbours(_co_whole(s, d).adj).select("graph_id", "alias", F.array_join("neighbours", ",").alias("neighbours")), _with(_COORDER_WHOLE) + "SELECT 'coorder_all' AS graph_id, u AS alias, string_agg(v, ',' ORDER BY v) AS neighbours FROM adj GROUP BY u")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which nodes are hubs, why, and what policy applies."""
     p = _orders(spark, sf_dir)

@@ -31,45 +31,28 @@ def _none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schema.CLASSES)
 
 
-def _named(spark: SparkSession, sf_dir: str, graph_id: str, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Supplier to part, of the lines; names are those of suppliers and parts that occur."""
-    pairs = lines.select(_alias("S", "l_suppkey").alias("source"), _alias("P", "l_partkey").alias("target"))
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Supplier to part, a relation for each line; names are those of suppliers and parts that occur."""
+    pairs = table(spark, sf_dir, "lineitem").select(_alias("S", "l_suppkey").alias("source"), _alias("P", "l_partkey").alias("target"))
     s = table(spark, sf_dir, "supplier").select(_alias("S", "s_suppkey").alias("alias"), F.col("s_name").alias("name"))
     p = table(spark, sf_dir, "part").select(_alias("P", "p_partkey").alias("alias"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")).alias("name"))
     used = pairs.select(F.col("source").alias("alias")).union(pairs.select("target")).distinct()
-    return _classes(graph_id, s.unionByName(p).join(used, "alias", "left_semi")), _relations(graph_id, pairs)
-
-
-def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Supplier to part, of returned lines of quantity 50, with names."""
-    return _named(spark, sf_dir, "trade", table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'"))
-
-
-def trade_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Supplier to part, of all lines, with names."""
-    return _named(spark, sf_dir, "trade_all", table(spark, sf_dir, "lineitem"))
-
-
-def trade_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Supplier to part, of all lines."""
-    pairs = table(spark, sf_dir, "lineitem").select(_alias("S", "l_suppkey").alias("source"), _alias("P", "l_partkey").alias("target"))
-    return _none(spark), _relations("trade_all", pairs)
+    return _classes("trade", s.unionByName(p).join(used, "alias", "left_semi")), _relations("trade", pairs)
 
 
-def _together(graph_id: str, lines: DataFrame) -> DataFrame:
+def coorder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts of one order, by line number."""
+    lines = table(spark, sf_dir, "lineitem")
     a = lines.select("l_orderkey", F.col("l_linenumber").alias("na"), _alias("P", "l_partkey").alias("source"))
     b = lines.select("l_orderkey", F.col("l_linenumber").alias("nb"), _alias("P", "l_partkey").alias("target"))
-    return _relations(graph_id, a.join(b, "l_orderkey").where("na < nb").select("source", "target"))
+    return _none(spark), _relations("coorder", a.join(b, "l_orderkey").where("na < nb").select("source", "target"))
 
 
-def coorder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts of one order, both of quantity 45 or more, by line number."""
-    return _none(spark), _together("coorder", table(spark, sf_dir, "lineitem").where("l_quantity >= 45"))
-
-
-def coorder_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts of one order, by line number."""
-    return _none(spark), _together("coorder_all", table(spark, sf_dir, "lineitem"))
+def links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Host of a page to what the page refers to."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.concat(F.lit("H"), F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
+    return _none(spark), _relations("links", pages.select(host.alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target")))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
