@@ -58,8 +58,7 @@ def test_hubs(spark):
 def nearest(spark, edges, seeds):
     classes, relations = tables(spark, edges)
     nodes, adj = graph.nodes(classes, relations), graph.adjacency(relations)
-    dist = bfs.distances(adj, nodes.where(F.col("alias").isin(*seeds)))
-    return dict(rows(bfs.nearest_seed(nodes, adj, dist), "alias", "seed"))
+    return dict(rows(bfs.nearest_seed(nodes, adj, nodes.where(F.col("alias").isin(*seeds))), "alias", "seed"))
 
 
 def test_nearest_seed_ties(spark):

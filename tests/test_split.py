@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from graphs import clique, members, tables
@@ -7,11 +8,12 @@ from pyspark.sql import functions as F
 from lattica import svg
 from lattica.cli import main
 from lattica.operators import anonymize, render
+from lattica.operators.anonymize import scrub_members
 from lattica.options import PartitionError, SplitOptions
 from lattica.plans.partition import partition, partition_by_map, partition_by_seeds
 from lattica.plans.report import plan_report
 from lattica.sources import diagrams, mapfile
-from lattica.streaming.degrees import degree_stream
+from lattica.streaming.degrees import degree_stream, windowed_degrees
 
 PARTS = ("Header", "Line", "Tax")
 
@@ -220,11 +222,53 @@ def test_degree_stream(spark, tmp_path):
     assert sorted((r["alias"], r["in_degree"], r["out_degree"]) for r in spark.table("degrees").collect()) == [("A", 0, 2), ("B", 1, 1), ("C", 2, 0)]
 
 
-def test_all_mapped_clusters_outside_the_bounds_are_counted(spark):
-    names = [f"N{k:03}" for k in range(105)]
+def test_windowed_degrees(spark, tmp_path):
+    rows = [("2024-01-01 00:00:05", "A", "B"), ("2024-01-01 00:00:50", "A", "C"), ("2024-01-01 00:01:10", "B", "A")]
+    spark.createDataFrame(rows, "at string, source string, target string").selectExpr("'g' AS graph_id", "CAST(at AS TIMESTAMP) AS at", "source", "target").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("graph_id string, at timestamp, source string, target string").parquet(str(tmp_path / "in"))
+    query = windowed_degrees(stream, "at", "1 minute", "10 minutes").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    got = sorted((r["window"]["start"].minute, r["alias"], r["in_degree"], r["out_degree"]) for r in spark.table("windowed").collect())
+    assert got == [(0, "A", 0, 2), (0, "B", 1, 0), (0, "C", 1, 0), (1, "A", 1, 0), (1, "B", 0, 1)]
+
+
+def test_all_clusters_are_warned_of_and_reported(spark):
+    names = [f"N{k:04}" for k in range(1001)]
     p = partition_by_map(*tables(spark, [(names[0], names[1])], names), mapfile.MapFile({f"c{n}": [n] for n in names}, "misc"))
-    assert sum("it is left as mapped" in w for w in p.warnings) == 100
-    assert "5 more mapped cluster(s) are outside [3, 25]; all are left as mapped." in p.warnings
+    assert sum("it is left as mapped" in w for w in p.warnings) == 1001
+    report = plan_report(p, SplitOptions(strategy="map")).split("\n")
+    assert sum(line.startswith("cN") for line in report) == 1001
+
+
+def test_scrubbed_members_by_brute_force(spark):
+    """Bodies with nested openings, closings outside bodies, and documents that end inside one."""
+    import random
+
+    kinds = ['class "A" as A {', '  enum "B" as B {', '\tabstract class "C" as C{', 'interface "D" as D <<x>> {', "}", " }\r", "+member", "A ..> B", "  A ..> C : x", "B ..> A", "D ..> A", "", "note"]
+
+    def brute(content):
+        lines, out, inside = content.split("\n"), [], False
+        uses = {}
+        for x in lines:
+            if m := re.match(r"\s*(\S+)\s+\.\.>\s+(\S+)", x):
+                uses.setdefault(m[1], []).append(m[2])
+        for x in lines:
+            closes = x.strip() == "}"
+            if inside and not closes:
+                continue
+            m = None if inside else re.match(r'(\s*)(abstract class|class|interface|enum) "[^"]*" as ([A-Z])\s*\{$', x)
+            inside = bool(m)
+            out.append(x)
+            if m and m[2] != "enum":
+                own = uses.get(m[3], [])
+                out += [f"{m[1]}  +attr{k + 1} : ?{t}" for k, t in enumerate(own)]
+                out.append(f"{m[1]}  " + (f"+__construct({', '.join(f'attr{k + 1}' for k in range(len(own)))})" if own else "+getElementName(elementType)"))
+        return "\n".join(out)
+
+    rng = random.Random(3)
+    documents = {f"d{k}": "\n".join(rng.choice(kinds) for _ in range(rng.randrange(25))) for k in range(60)}
+    got = scrub_members(spark.createDataFrame(list(documents.items()), "graph_id string, content string"))
+    assert {r["graph_id"]: r["content"] for r in got.collect()} == {k: brute(c) for k, c in documents.items()}
 
 
 def test_map_rows_have_all_regions(spark, tmp_path):
