@@ -12,7 +12,7 @@ from lattica.functions import text
 from lattica.operators import account, anonymize, bfs, components, graph, hubs, prefix, render
 from lattica.options import SplitOptions
 from lattica.plans import partition as plans
-from lattica.session import small
+from lattica.session import cut, small
 from lattica.sources import adapters, diagrams, mapfile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,8 @@ class _Source:
     seed_threshold: int
 
     def make(self, spark: SparkSession, sf_dir: str) -> plans.Prepared:
-        return _graph(self.adapter)(spark, sf_dir)
+        """Degrees and adjacency are written down once: most queries read them several times."""
+        return plans.prepare(*self.adapter(spark, sf_dir))
 
 
 _TRADES = _Source(adapters.trade, SplitOptions(**_HUBS), SplitOptions(max_size=10, min_size=3, strategy="prefix", **_HUBS), 640)
@@ -164,8 +165,8 @@ _NEAR = "prior AS (SELECT d.seed, d.alias, d.dist, (SELECT count(*) FROM adj JOI
 
 
 def _seeded(s: SparkSession, d: str, g: _Source = _TRADES) -> tuple[plans.Prepared, DataFrame, DataFrame]:
-    p = plans.prepare(*g.adapter(s, d))
-    found = hubs.detect(p.degrees, g.split)
+    p = g.make(s, d)
+    found = cut(hubs.detect(p.degrees, g.split))
     return p, found, bfs.auto_seeds(p.degrees, found, g.seed_threshold)
 
 
@@ -201,7 +202,7 @@ _add(
 def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _TRADES) -> tuple[plans.Prepared, DataFrame, DataFrame]:
     p = g.make(s, d)
     members = p.degrees.select("graph_id", "alias").join(p.classes.select("graph_id", "alias", "name"), ["graph_id", "alias"], "left")
-    found = hubs.detect(p.degrees, g.prefix)
+    found = cut(hubs.detect(p.degrees, g.prefix))
     if minus_hubs:
         members = members.join(found.select("graph_id", "alias"), ["graph_id", "alias"], "left_anti")
     return p, prefix.prefix_clusters(members, 10), found
@@ -209,7 +210,7 @@ def _prefixed(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _T
 
 def _membership(s: SparkSession, d: str, minus_hubs: bool = False, g: _Source = _TRADES) -> tuple[plans.Prepared, DataFrame, DataFrame]:
     p, clusters, found = _prefixed(s, d, minus_hubs, g)
-    return p, plans.numbered(clusters.select("graph_id", F.col("cluster_name").alias("cluster_key"), "cluster_name", "alias")), found
+    return p, cut(plans.numbered(clusters.select("graph_id", F.col("cluster_name").alias("cluster_key"), "cluster_name", "alias"))), found
 
 
 _PC = (_prefix_sql(10), _MEMBERS)
