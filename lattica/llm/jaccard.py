@@ -294,12 +294,12 @@ def _buckets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     lead = F.min(F.when(F.col("first").isNotNull(), F.col("id")))
     members = sets.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), lead.alias("lead"), F.min("id").alias("any"), F.max("n_shingles").alias("n"))
     members = cut(members.select("cls", "rep", F.coalesce("lead", "any").alias("place"), F.col("lead").isNotNull().alias("has_prefix"), "n"))
-    reps = members.where("has_prefix").select(F.col("cls").alias("__c"), F.col("place").alias("__p"), F.col("n").cast("int").alias("n"))
-    rows = sets.where(F.col("first").isNotNull()).select("id", "cls", F.col("first").alias("tokens"))
+    each = sets.where(F.col("first").isNotNull()).select("id", "cls", F.explode("first").alias("token"))
+    several = each.groupBy("token").agg(F.count("*").alias("__n")).where("__n > 1").select("token")
     # A class whose prefixes several tasks gave is in a bucket once.
-    rows = rows.join(reps, (F.col("cls") == F.col("__c")) & (F.col("id") == F.col("__p"))).select("id", "n", F.explode("tokens").alias("token"))
-    several = rows.groupBy("token").agg(F.count("*").alias("__n")).where("__n > 1").select("token")
-    return sets, members, cut(rows.join(several, "token", "left_semi").select("token", "id", "n"))
+    reps = members.where("has_prefix").select(F.col("cls").alias("__c"), F.col("place").alias("__p"), F.col("n").cast("int").alias("n"))
+    met = each.join(several, "token", "left_semi").join(reps, (F.col("cls") == F.col("__c")) & (F.col("id") == F.col("__p")))
+    return sets, members, cut(met.select("token", "id", "n"))
 
 
 def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
