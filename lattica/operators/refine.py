@@ -91,16 +91,20 @@ def merge_quotient(names: list[str], sizes: list[int], links: Links, min_size: i
 
 
 def quotient(clusters: Clusters, graph: LocalGraph) -> Links:
+    """Members and neighbours are in order, so the first pair that is met is the least."""
     of = {m: k for k, (_, ms) in enumerate(clusters) for m in ms}
-    links: Links = [{} for _ in clusters]
+    links: Links = []
     for k, (_, ms) in enumerate(clusters):
+        counts: dict[int, int] = {}
+        first: dict[int, tuple[bytes, bytes]] = {}
         for m in ms:
             for v in graph.near.get(m, ()):
                 j = of.get(v, k)
-                if j != k:
-                    pair = (m.encode(), v.encode())
-                    n, first = links[k].get(j, (0, pair))
-                    links[k][j] = (n + 1, min(first, pair))
+                if j in counts:
+                    counts[j] += 1
+                elif j != k:
+                    counts[j], first[j] = 1, (m.encode(), v.encode())
+        links.append({j: (n, first[j]) for j, n in counts.items()})
     return links
 
 
