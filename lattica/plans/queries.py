@@ -302,6 +302,20 @@ _add(
     + "SELECT 'trade' AS graph_id, '  ' || f || ' -[thickness=' || CAST(CASE WHEN most <= 1 THEN 1 ELSE 1 + round(CAST(n - 1 AS DOUBLE) / (most - 1) * 3) END AS INTEGER) || ']-> ' || t || ' : ' || n AS line FROM (SELECT *, max(n) OVER () AS most FROM pr)",
 )
 
+def _overview_file(s: SparkSession, d: str, g: _Source = _TRADES) -> DataFrame:
+    p, membership, _ = _membership(s, d, True, g)
+    return render.overview(p.relations, membership, SplitOptions(layout="none"))
+
+
+#: The whole file: packages by slug, then links by both slugs.
+_add(
+    "overview_file", _overview_file,
+    _with(_TRADE, *_PC_HUBS, f"sm AS (SELECT alias, cluster_name, {_SLUG.format('cluster_name')} AS slug FROM mem)", "pr AS (SELECT a.slug AS f, b.slug AS t, count(*) AS n FROM rel JOIN sm a ON a.alias = source JOIN sm b ON b.alias = target WHERE a.slug <> b.slug GROUP BY ALL)",
+          "ln AS (SELECT '  ' || f || ' -[thickness=' || CAST(CASE WHEN most <= 1 THEN 1 ELSE 1 + round(CAST(n - 1 AS DOUBLE) / (most - 1) * 3) END AS INTEGER) || ']-> ' || t || ' : ' || n AS line, f, t FROM (SELECT *, max(n) OVER () AS most FROM pr))",
+          "pk AS (SELECT '  package \"' || cluster_name || ' (' || count(*) || ')\" as ' || slug || ' {' || chr(10) || '  }' AS line, slug FROM sm GROUP BY cluster_name, slug)")
+    + "SELECT 'trade' AS graph_id, 'overview.puml' AS file_name, '@startuml overview' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY slug) FROM pk) || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY f, t) FROM ln) || chr(10) || '@enduml' || chr(10) AS content",
+)
+
 # --- text -----------------------------------------------------------------------------
 
 #: Lines of a diagram out of lineitem, the same expression in both engines.
@@ -316,18 +330,15 @@ def _text(s: SparkSession, d: str) -> DataFrame:
     return adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_LINE).alias("text"))
 
 
-_SRC = f"src AS (SELECT {_KEYED}, {_LINE} AS text FROM lineitem)"
 _add("classify_lines", lambda s, d: _text(s, d).select("l_orderkey", "l_linenumber", diagrams.line_class(F.col("text")).alias("class")), f"SELECT {_KEYED}, CASE l_linenumber % 7 WHEN 0 THEN 'start' WHEN 1 THEN 'relation' WHEN 2 THEN 'relation' WHEN 3 THEN 'relation' WHEN 4 THEN 'declaration' WHEN 5 THEN 'declaration' ELSE 'other' END AS class FROM lineitem")
-_RE = r"^\s*(\S+)\s+(?:\"([^\"]*)\"\s+)?(\.(?:\[[^\]]*\])?\.>|-(?:\[[^\]]*\])?->|<\|(?:-\[[^\]]*\])?--|<\|(?:\.\[[^\]]*\])?\.\.|o-(?:\[[^\]]*\])?-|\*-(?:\[[^\]]*\])?-)\s+(?:\"([^\"]*)\"\s+)?(\S+)(?:\s*:\s*(.+?))?\s*$"
 _add(
     "parse_relations", lambda s, d: (lambda t: t.where(F.col("text").rlike(diagrams.RELATION)).select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in diagrams.relation_columns(F.col("text")).items()]))(_text(s, d)),
-    f"WITH {_SRC}, m AS (SELECT {_KEYED}, l_linenumber % 7 = 2 AS styled, regexp_extract(text, '{_RE}', 1) AS source, regexp_extract(text, '{_RE}', 3) AS arrow, regexp_extract(text, '{_RE}', 5) AS target, nullif(regexp_extract(text, '{_RE}', 6), '') AS label FROM src WHERE regexp_matches(text, '{_RE}')) "
-    f"SELECT {_KEYED}, source, arrow, target, label, CASE WHEN styled THEN '1' END AS src_mult, CASE WHEN styled THEN '' END AS dst_mult FROM m",
+    f"SELECT {_KEYED}, CASE WHEN k = 3 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS source, CASE k WHEN 1 THEN '..>' WHEN 2 THEN '.[#336699].>' ELSE '<|-[thickness=2]--' END AS arrow, CASE WHEN k = 3 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS target, "
+    "CASE WHEN k = 2 THEN l_returnflag END AS label, CASE WHEN k = 2 THEN '1' END AS src_mult, CASE WHEN k = 2 THEN '' END AS dst_mult FROM (SELECT *, l_linenumber % 7 AS k FROM lineitem) WHERE k IN (1, 2, 3)",
 )
-_DE = r'^\s*(abstract class|class|interface|enum)\s+"([^"]+)"\s+as\s+(\S+)\s*(.*?)\s*$'
 _add(
     "parse_declarations", lambda s, d: (lambda t: t.where(F.col("text").rlike(diagrams.DECLARATION)).select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in diagrams.declaration_columns(F.col("text")).items()]))(_text(s, d)),
-    f"WITH {_SRC} SELECT {_KEYED}, regexp_extract(text, '{_DE}', 1) AS kind, regexp_extract(text, '{_DE}', 2) AS name, regexp_extract(text, '{_DE}', 3) AS alias, regexp_extract(text, '{_DE}', 4) AS rest FROM src WHERE regexp_matches(text, '{_DE}')",
+    f"SELECT {_KEYED}, CASE k WHEN 4 THEN 'abstract class' ELSE 'interface' END AS kind, CASE k WHEN 4 THEN 'Part' || l_partkey ELSE 'S' || l_suppkey END AS name, CASE k WHEN 4 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS alias, CASE k WHEN 4 THEN '<<x>> {{' ELSE '' END AS rest FROM (SELECT *, l_linenumber % 7 AS k FROM lineitem) WHERE k IN (4, 5)",
 )
 _ARROWS = "CASE l_linenumber % 8 WHEN 0 THEN '..>' WHEN 1 THEN '.[#AA].>' WHEN 2 THEN '-[x]->' WHEN 3 THEN 'o-[x]-' WHEN 4 THEN '*--' WHEN 5 THEN '<|-[x]--' WHEN 6 THEN '<|.[x]..' ELSE '==>' END"
 _add("arrow_canonical", lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.base_arrow(F.expr(_ARROWS)).alias("arrow")), f"SELECT {_KEYED}, CASE l_linenumber % 8 WHEN 0 THEN '..>' WHEN 1 THEN '..>' WHEN 2 THEN '-->' WHEN 3 THEN 'o--' WHEN 4 THEN '*--' WHEN 5 THEN '<|--' WHEN 6 THEN '<|..' END AS arrow FROM lineitem")
