@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -394,9 +395,10 @@ _FILES = T.StructType([T.StructField(*x) for x in (("range_key", T.LongType()),
 def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """The files of all shards, a row each, documents in ascending doc_id, null ids first.
 
-    range_key is the first id of the range of documents that a task encodes;
-    the tokens of that range before a file are in its header.  A null text is
-    an end id alone.
+    range_key numbers the ranges of documents that tasks encode, in order; the
+    tokens of that range before a file are in its header.  Rows of one id, and
+    those without, are in order of a hash of their texts, so many of them are
+    several ranges.  A null text is an end id alone.
     """
     path = path or tokenizer_path()
     lowest = -(1 << 63)
@@ -410,12 +412,12 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID
         parts: list[np.ndarray] = []
         ids: list[int | None] = []
         counts: list[int] = []
-        first, before, held = None, 0, 0
+        own_range, before, held = TaskContext.get().partitionId(), 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal before, held
             data = write_file(np.concatenate(parts), ids, counts, before, enc.planes)
-            row = [[first], [lowest if ids[0] is None else ids[0]], [held], [len(ids)], [data]]
+            row = [[own_range], [lowest if ids[0] is None else ids[0]], [held], [len(ids)], [data]]
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_FILES.names)
             before, held = before + held, 0
             for x in (parts, ids, counts):
@@ -429,8 +431,6 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID
                 stops = np.cumsum(sizes)
                 parts.append(np.insert(encoded, stops, enc.kind.type(end_id)))
                 own = part.column(0).to_pylist()
-                if first is None:
-                    first = lowest if own[0] is None else own[0]
                 ids += own
                 counts += (sizes + 1).tolist()
                 held += len(encoded) + len(own)
@@ -440,7 +440,8 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID
             yield close()
 
     rows = doc_text(docs)
-    ordered = rows.repartitionByRange(partitions_for(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(partitions_for(docs.sparkSession), *order).sortWithinPartitions(*order)
     return map_batches(ordered, run, _FILES)
 
 

@@ -358,6 +358,15 @@ def test_wavelet_query(docs, texts):
         start += len(ids)
 
 
+def test_wavelet_rows_without_id(spark):
+    """Many rows without id, and of one id, are several ranges; starts have no gap."""
+    rows = [(None if k % 3 else 5, f"text {k} of many") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert wavelet.encode_shards(docs).select("range_key").distinct().count() == 4
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"] is None) for r in wavelet.op6(docs).collect())
+    assert len(got) == 600 and got[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(got, got[1:], strict=False)) and [x for *_, x in got] == [True] * 400 + [False] * 200
+
+
 def test_bpe_query(docs, texts):
     enc = bpe.encoder(bpe.ranks_path())
     for i, r in found(bpe.op7(docs)).items():
