@@ -41,6 +41,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Rounds of pivots, pivots of a bucket, 64-bit words of a parity sketch, tokens before one that go with it, ids that may be broadcast.
 PIVOTS, FEW, SKETCH, BEFORE, BROADCAST_IDS = 2, 4, 8, 4, 1_000_000
+#: Members of a bucket from which it is dealt by bands of size.
+HOT = 1000
 #: The count table has a power of two of counters, about one for so many tokens, between these bounds.
 A_COUNTER, COUNTERS_LEAST, COUNTERS_MOST, SLICES = 64, 16, 22, 64
 #: Tables that one task adds up; more are added in several levels.
@@ -228,10 +230,20 @@ def _attach(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
     return pairs
 
 
+def _only(values: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of values whose id is among ids (__i), which are written down and distinct; values aren't shuffled if these are few."""
+    return values.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("id") == F.col("__i"), "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("a").alias("__i")).union(pairs.select(F.col("b").alias("__i"))).distinct())
+
+
 def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs that the first order admits those that the others admit too."""
+    pairs = cut(pairs)
     values = sets.where(F.col("second").isNotNull()).select("id", "second", "third", F.col("n_shingles").alias("n"))
-    both = _attach(pairs, values, ["second", "third", "n"])
+    both = _attach(pairs, _only(values, _ends(pairs)), ["second", "third", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,10 +259,9 @@ def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose whole sets are as alike as asked.  Only the texts of documents in pairs are read on."""
-    ids = pairs.select(F.col("a").alias("__i")).union(pairs.select(F.col("b").alias("__i"))).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    keys = cut(sets.select("id", "key").join(F.broadcast(ids) if small else ids, F.col("id") == F.col("__i"), "left_semi"))
-    wanted = keys.select(F.col("key").alias("__k")).distinct()
+    keys = cut(_only(sets.select("id", "key"), _ends(pairs)))
+    wanted = cut(keys.select(F.col("key").alias("__k")).distinct())
+    small = wanted.count() <= BROADCAST_IDS
     texts = docs.select(text_key().alias("key"), "text").join(F.broadcast(wanted) if small else wanted, F.col("key") == F.col("__k"), "left_semi")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +305,11 @@ def _buckets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     lead = F.min(F.when(F.col("first").isNotNull(), F.col("id")))
     members = sets.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), lead.alias("lead"), F.min("id").alias("any"), F.max("n_shingles").alias("n"))
     members = cut(members.select("cls", "rep", F.coalesce("lead", "any").alias("place"), F.col("lead").isNotNull().alias("has_prefix"), "n"))
-    each = sets.where(F.col("first").isNotNull()).select("id", "cls", F.explode("first").alias("token"))
+    each = sets.where(F.col("first").isNotNull()).select("id", F.explode("first").alias("token"))
     several = each.groupBy("token").agg(F.count("*").alias("__n")).where("__n > 1").select("token")
     # A class whose prefixes several tasks gave is in a bucket once.
-    reps = members.where("has_prefix").select(F.col("cls").alias("__c"), F.col("place").alias("__p"), F.col("n").cast("int").alias("n"))
-    met = each.join(several, "token", "left_semi").join(reps, (F.col("cls") == F.col("__c")) & (F.col("id") == F.col("__p")))
+    reps = members.where("has_prefix").select(F.col("place").alias("__p"), F.col("n").cast("int").alias("n"))
+    met = each.join(several, "token", "left_semi").join(reps, F.col("id") == F.col("__p"))
     return sets, members, cut(met.select("token", "id", "n"))
 
 
@@ -378,27 +389,31 @@ def _pivot_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
 def _all_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of members in different components that differ in no more tokens than a link may.
 
-    Members meet by token and band of size: sets that can be linked are at most
-    one band apart.  On one side of the join are the members outside the
-    bucket's largest component only.  The
+    Members meet by token, in buckets of over HOT members also by band of size:
+    sets that can be linked are at most one band apart.  On one side of the
+    join are the members outside the bucket's largest component only.  The
     sketches bound the difference before a pair leaves the join.  A pair leaves
     it in the bucket of its first common token, and hardly in others: a token
     is passed over if one of the few before it is common too, since the pair is
     then met there.
     """
     words = [f"p{k}" for k in range(SKETCH)]
-    main = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main")).withColumnRenamed("token", "__t")
-    values = sets.where(F.col("first").isNotNull()).select(F.col("id").alias("__d"), "first", *words)
+    rows = cut(rows)
+    main = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
+    main = main.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("total")).withColumnRenamed("token", "__t")
+    values = _only(sets.where(F.col("first").isNotNull()).select("id", "first", *words), cut(rows.select(F.col("id").alias("__i")).distinct())).withColumnRenamed("id", "__d")
     at = F.array_position("first", F.col("token")).cast("int")
     before = F.slice("first", F.greatest(at - BEFORE, F.lit(1)), F.greatest(F.least(at - 1, F.lit(BEFORE)), F.lit(0)))
     # A band is a little wider than sizes of linked sets can differ, so rounding can't put them two bands apart.
     band = F.floor(F.log(F.col("n")) / F.lit(max(math.log(100 / percent), 1e-9) * (1 + 1e-9))).cast("long")
+    band = F.when(F.col("total") > HOT, band)
     rows = rows.join(main, F.col("token") == F.col("__t")).join(values, F.col("id") == F.col("__d"))
     rows = rows.select("token", "id", "n", "component", (F.col("component") != F.col("main")).alias("odd"), band.alias("band"), before.alias("before"), *words)
     own = ["id", "n", "component", "odd", "before", *words]
     side = lambda x, band: [F.col("token"), band.alias("band"), *[F.col(c).alias(f"{x}_{c}") for c in own]]
-    left = rows.where("odd").select(*side("a", F.col("band")))
-    right = rows.select(*side("b", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
+    left = rows.where("odd").select(*side("a", F.coalesce("band", F.lit(-1).cast("long"))))
+    near_bands = F.when(F.col("band").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    right = rows.select(*side("b", F.explode(near_bands)))
     differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
     # 2 * overlap is n + n less the difference.
     near = (F.col("a_n") + F.col("b_n") - differ) * (100 + percent) >= 2 * percent * (F.col("a_n") + F.col("b_n"))

@@ -278,11 +278,12 @@ def test_jaccard_join(docs, texts):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == components_of(texts, 4, 85)
 
 
-@pytest.mark.parametrize("pivots", [0, 3])
-def test_jaccard_join_of_chains(spark, pivots):
-    """Near copies that drift, one hub passage, copies with larger ids first, and sets of other sizes."""
+@pytest.mark.parametrize(("pivots", "hot"), [(0, 3), (0, 1000), (3, 1000)])
+def test_jaccard_join_of_chains(spark, pivots, hot, monkeypatch):
+    """Near copies that drift, one hub passage, copies with larger ids first, and sets of other sizes; also with buckets dealt by size."""
     import random
 
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     drift, words = [], list(base)
