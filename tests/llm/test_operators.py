@@ -195,6 +195,30 @@ def test_held_out_accuracy(spark):
         assert sum((a > b) + (a == b) / 2 for a in one for b in other) / (len(one) * len(other)) > least
 
 
+def test_scores_by_brute_force(docs, texts, spark, sf_dir):
+    """Quality and toxicity of every text from its model, one text at a time."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, got = quality.fit(docs, labels), found(quality.op2(docs, labels))
+    size = {}
+    for name, raw in (("good", model.good), ("bad", model.bad)):
+        kind = zstandard.DICT_TYPE_AUTO if model.trained else zstandard.DICT_TYPE_RAWCONTENT
+        dictionary = zstandard.ZstdCompressionDict(raw, dict_type=kind)
+        dictionary.precompute_compress(level=quality.LEVEL)
+        comp = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+        size[name] = {i: sum(len(comp.compress(t.encode()[k : k + 1024])) for k in range(0, len(t.encode()), 1024)) for i, t in texts.items()}
+    for i, t in texts.items():
+        z = model.weights[0] + model.weights[1] * 20 * (size["bad"][i] - size["good"][i]) / max(1, len(t.encode()))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z))))) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    toxic, got = toxicity.fit(docs, labels), found(toxicity.op3(docs, labels))
+    for i, t in texts.items():
+        words = {w for w in re.findall(r"[^\W\d_]+", t.lower())}
+        have = words | {w[:n] + "*" for w in words for n in (4, 5, 6, 7) if len(w) > n}
+        z = toxic.bias + sum(w for f, w in toxic.weights.items() if f in have)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z))))) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
 def test_scores_ignore_everything_but_text(docs, spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels)
@@ -390,6 +414,43 @@ def test_sharding(docs, texts):
     assert max(sizes.values()) <= sum(sizes.values()) / 40 + max(r["size"] for r in out)
 
 
+def test_sharding_by_brute_force(docs):
+    """Ranges, the line of bytes, shards and slots in plain Python, from the same splitters."""
+    from bisect import bisect_left
+
+    shards = 7
+    rows = sharding.records(docs)
+    n, total = rows.agg(F.count("*"), F.sum("size")).first()
+    n_ranges = max(sharding.RANGES_A_SHARD * shards, -(-n // sharding.ROWS_A_RANGE))
+    split = sharding.subdivided(rows, sharding.choose_splitters(rows, n_ranges, total), n_ranges, total)
+    ids, first = [], 0
+    for t in split.times:
+        ids.append(first)
+        first += 1 + (t if t > 1 else 0)
+    ids.append(first)
+
+    def range_of(key, spread):
+        below = bisect_left(split.keys, key)
+        full = below < len(split.keys) and split.keys[below] == key and split.times[below] > 1
+        return ids[below] + (1 + spread % split.times[below] if full else 0)
+
+    line = sorted((range_of(r["key"], r["spread"]), r["key"], r["doc_id"], r["size"]) for r in rows.withColumn("spread", F.xxhash64("doc_id", F.lit(11))).collect())
+    groups, starts, at = defaultdict(list), [], 0
+    for x in line:
+        starts.append(at)
+        groups[x[:2]].append((at, x[3]))
+        at += x[3]
+    want, slots = {}, Counter()
+    for (r, key, doc_id, size), start in zip(line, starts, strict=True):
+        own = groups[r, key]
+        whole = sum(s for _, s in own)
+        middle = 2 * start + size if whole * sharding.WHOLE * shards > total else 2 * own[0][0] + whole
+        shard = min(shards - 1, middle * shards // (2 * total))
+        want[doc_id] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.assign(docs, shards).collect()} == want
+
+
 def test_sharding_of_a_hot_text(spark):
     rows = [(k, "hot text" if k % 3 else f"text {k}") for k in range(6000)]
     out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
