@@ -342,7 +342,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: int
         rows = met.withColumn("component", F.col("id")) if labels is None else _labelled(met, labels)
         if labels is not None:
             several = rows.groupBy("token").agg(F.min("component").alias("__x"), F.max("component").alias("__y")).where("__x < __y").select("token")
-            rows = rows.join(several, "token", "left_semi")
+            rows = cut(rows.join(several, "token", "left_semi"))
         pairs = _pivot_pairs(rows, k, percent) if k < pivots else _all_pairs(rows, sets, percent)
         found = cut(_verify(cut(_candidates(pairs, sets, percent)), docs, sets, size, percent))
         links = found if links is None else links.unionByName(found)
@@ -374,13 +374,16 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def _pivot_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """In each bucket, a few members, each the least by a hash of its own, with all of other components; pairs that share too few tokens this way wait for the last step."""
-    member = F.struct("id", "n", "component")
-    few = F.array_distinct(F.array(*[F.min_by(member, F.struct(F.xxhash64("id", F.lit(FEW * turn + k)), "id")) for k in range(FEW)]))
-    pivots = rows.groupBy("token").agg(few.alias("__few")).withColumnRenamed("token", "__t")
-    apart = F.filter(F.col("__few"), lambda p: (p["component"] != F.col("component")) & (100 * p["n"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * p["n"]))
-    paired = rows.join(pivots, F.col("token") == F.col("__t")).select("id", "n", F.explode(apart).alias("p"))
-    met = paired.select(*_ordered(F.col("p.id"), F.col("id")), F.least("p.n", "n").alias("s"), F.greatest("p.n", "n").alias("t"))
+    """In each bucket, a few members with all of other components; pairs that share too few tokens this way wait for the last step."""
+    # The least id with some bits turned over: other bits, another member, and what is aggregated is one number.
+    salts = [int(x) for x in mix64(np.arange(FEW * turn + 1, FEW * turn + FEW + 1, dtype=_U64)).view(np.int64)]
+    few = F.array_distinct(F.array(*[F.min(F.col("id").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in salts]))
+    pivots = rows.groupBy("token").agg(few.alias("__few")).select(F.col("token").alias("__t"), F.explode("__few").alias("pivot"))
+    nodes = cut(rows.select(F.col("id").alias("__i"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")).distinct())
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    pivots = pivots.join(nodes, F.col("pivot") == F.col("__i"))
+    paired = rows.join(pivots, F.col("token") == F.col("__t")).where((F.col("component") != F.col("pivot_component")) & sizes_match("n", "pivot_n", percent))
+    met = paired.select(*_ordered(F.col("pivot"), F.col("id")), F.least("pivot_n", "n").alias("s"), F.greatest("pivot_n", "n").alias("t"))
     # Two pivots meet twice in a bucket, which only lets their pair pass more easily.
     counted = met.groupBy("a", "b", "s", "t").agg(F.count("*").alias("common"))
     return counted.where(enough("common", "s", "t", percent)).select("a", "b")
@@ -398,7 +401,6 @@ def _all_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     then met there.
     """
     words = [f"p{k}" for k in range(SKETCH)]
-    rows = cut(rows)
     main = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
     main = main.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("total")).withColumnRenamed("token", "__t")
     values = _only(sets.where(F.col("first").isNotNull()).select("id", "first", *words), cut(rows.select(F.col("id").alias("__i")).distinct())).withColumnRenamed("id", "__d")
