@@ -1,12 +1,17 @@
 """What large graphs need: both ways of searching and labelling agree, and little is written down."""
 
 import random
+from functools import reduce
 from pathlib import Path
 
-from graphs import tables
+import numpy as np
+import pyarrow as pa
+import pytest
+from graphs import clique, tables
 from pyspark.sql import functions as F
 
-from lattica.operators import bfs, components, graph
+from lattica.operators import bfs, community, components, graph
+from lattica.options import SplitOptions
 from lattica.plans import partition as plans
 
 
@@ -67,3 +72,76 @@ def test_forest_needs_no_rounds(spark):
     """One task takes the forest of a graph above the bound of edges; contraction took jobs for every pointer that it followed."""
     p = plans.prepare(*tables(spark, [(f"a{k:02}", f"a{k + 1:02}") for k in range(60)]))
     assert jobs(spark, "forest", lambda: components.connected(p.degrees, p.pairs, None, 50).collect()) < 20
+
+
+def test_forest_goes_on_with_what_a_task_has_found(monkeypatch):
+    """Links in no order: a task gives fewer rows than it has nodes, where each step gave as many as the nodes that it met."""
+    rng = random.Random(5)
+    fields = pa.schema([pa.field(c, pa.string(), nullable=False) for c in ("graph_id", "u", "v")])
+    links = [(f"n{a}", f"n{b}") for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(600)) if a != b]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["g"] * len(own)), *map(pa.array, zip(*own, strict=True))], schema=fields) for own in (links[k : k + 50] for k in range(0, len(links), 50))]
+    monkeypatch.setattr(components, "STEP", 100)
+    assert sum(b.num_rows for b in components._stars(iter(batches))) < 40
+
+
+def test_matrix_moves_as_tables_do(monkeypatch):
+    for seed in range(60):
+        rng = random.Random(seed)
+        n = rng.randrange(2, 50)
+        weight = {}
+        for _ in range(rng.randrange(400)):
+            a, b = rng.randrange(n), rng.randrange(n)
+            if a != b:
+                weight[a, b] = weight[b, a] = rng.randrange(1, 9)
+        keys = sorted(weight)
+        of = community.Weighted(*(np.array(x, np.int64) for x in ([a for a, _ in keys], [b for _, b in keys], [weight[k] for k in keys], [rng.randrange(3) for _ in range(n)])))
+        total = int(of.degrees().sum())
+        monkeypatch.setattr(community, "DENSE", 10**9)
+        assert community.local_moving(of, total).tolist() == community._moving_dense(of, total).tolist()
+
+
+def mixed():
+    """Components that refine by themselves, some that need misc, and one called misc."""
+    rng = random.Random(11)
+    edges = []
+    for c in "abcdefgh":
+        n = rng.randrange(8, 60)
+        edges += [(f"{c}{k}", f"{c}{rng.randrange(k)}") for k in range(1, n)] + [(f"{c}{rng.randrange(n)}", f"{c}{rng.randrange(n)}") for _ in range(n)]
+    return [*edges, ("x1", "x2"), ("misc", "y1"), ("y1", "y2"), ("z1", "z2"), ("z2", "z3")]
+
+
+def split(spark, strategy, settle, monkeypatch):
+    graphs = [tables(spark, edges, graph_id=f"g{k}") for k, edges in enumerate((mixed(), mixed()[:-5], [e for e in mixed() if e[0][0] in "ab"] + [("x1", "x2")]))]
+    classes, relations = (reduce(lambda a, b: a.unionByName(b), of) for of in zip(*graphs, strict=True))
+    options = SplitOptions(strategy=strategy, max_size=7, min_size=3, hub_threshold=99, hub_out_threshold=99)
+    whole = plans.component_clusters
+    with monkeypatch.context() as m:
+        if not settle:
+            m.setattr(plans, "component_clusters", lambda p, found, options, **_: whole(p, found, options))
+        made = plans.partition(classes, relations, options)
+        return got(made.membership), got(made.decisions)
+
+
+@pytest.mark.parametrize("strategy", ["leiden", "louvain", "auto"])
+def test_components_refined_where_they_are_split(spark, strategy, monkeypatch):
+    """The same rows as by refining all of a graph's clusters together, whether misc takes part or not."""
+    assert split(spark, strategy, True, monkeypatch) == split(spark, strategy, False, monkeypatch)
+
+
+def test_refined_by_rounds_beside_settled_components(spark):
+    """A lone small cluster goes to misc if the graph has others, also when these are settled."""
+    p = plans.prepare(*tables(spark, [("a", "b")]))
+    labelled = spark.createDataFrame([("g", "c|a", "a", "a"), ("g", "c|a", "a", "b")], "graph_id string, cluster_key string, cluster_name string, alias string")
+    settled = spark.createDataFrame([("g", "s|x|0", "x", m) for m in ("x", "y", "z")], labelled.schema)
+    for bound in (100, 0):
+        for others, name in ((settled, "misc"), (None, "a")):
+            found, _ = plans.refined(p, labelled, SplitOptions(one_task_nodes=bound), others)
+            assert {r["cluster_name"] for r in found.where("alias IN ('a', 'b')").collect()} == {name}
+
+
+def test_components_take_one_task_each(spark):
+    """Large components of one graph are split and refined without a job that looks at the whole graph's links again."""
+    p = tables(spark, [e for c in "abcd" for e in clique([f"{c}{k}" for k in range(12)])])
+    one = jobs(spark, "settled", lambda: plans.partition(*p, SplitOptions(strategy="leiden", max_size=5, hub_threshold=99, hub_out_threshold=99)).membership.collect())
+    rounds = jobs(spark, "rounds", lambda: plans.partition(*p, SplitOptions(strategy="leiden", max_size=5, hub_threshold=99, hub_out_threshold=99, one_task_nodes=0)).membership.collect())
+    assert one < rounds
