@@ -10,6 +10,7 @@ import pytest
 from graphs import clique, tables
 from pyspark.sql import functions as F
 
+from lattica import session
 from lattica.operators import bfs, community, components, graph
 from lattica.options import SplitOptions
 from lattica.plans import partition as plans
@@ -145,3 +146,38 @@ def test_components_take_one_task_each(spark):
     one = jobs(spark, "settled", lambda: plans.partition(*p, SplitOptions(strategy="leiden", max_size=5, hub_threshold=99, hub_out_threshold=99)).membership.collect())
     rounds = jobs(spark, "rounds", lambda: plans.partition(*p, SplitOptions(strategy="leiden", max_size=5, hub_threshold=99, hub_out_threshold=99, one_task_nodes=0)).membership.collect())
     assert one < rounds
+
+
+def test_clusters_split_in_rounds_take_many_tasks(spark):
+    """Rows of many small clusters went into one task, which split them one after another."""
+    rows = spark.createDataFrame([("g", k) for k in range(40)], "graph_id string, pos int")
+    assert session.dealt(rows, "graph_id", "pos").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rounds_ask_for_links_once(spark, monkeypatch):
+    """misc is too large, split, and made again in every round; the links of its nodes are those of the round before."""
+    names = []
+    monkeypatch.setattr(plans, "stored", lambda df, name, kept=plans.stored: (names.append(name), kept(df, name))[1])
+    lone = [f"x{k:02}" for k in range(12)]
+    p = tables(spark, clique([f"a{k}" for k in range(6)]), lone, {a: f"{'One' if k % 2 else 'Two'}{k}" for k, a in enumerate(lone)})
+    made = {n: got(plans.partition(*p, SplitOptions(strategy="prefix", max_size=7, hub_threshold=99, hub_out_threshold=99, one_task_nodes=n)).membership) for n in (100, 0)}
+    assert made[0] == made[100] and names.count("near") == 1
+
+
+def test_seeds_are_searched_and_refined_in_a_task_each(spark):
+    """The same rows as by rounds, in fewer jobs; one component has no seed."""
+    p = tables(spark, [*(e for c in "abcd" for e in clique([f"{c}{k:02}" for k in range(12)])), ("y1", "y2")])
+    seeds = tuple(f"{c}{k}" for c in "abcd" for k in ("00", "07"))
+    made = []
+    split = lambda n: plans.partition_by_seeds(*p, SplitOptions(strategy="seeds", seeds=seeds, max_size=5, hub_threshold=99, hub_out_threshold=99, one_task_nodes=n))
+    one, rounds = (jobs(spark, f"seeds{n}", lambda n=n: made.append(got(split(n).membership))) for n in (100_000, 0))
+    assert made[0] == made[1] and one < rounds
+
+
+def test_parts_of_clusters(spark):
+    p = plans.prepare(*tables(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("h", "a"), ("h", "c")]))
+    of = {"a": 1, "b": 2, "c": 1, "d": 1, "x": 2, "y": 3}
+    members = spark.createDataFrame([("g", k, str(k), a) for a, k in of.items()], "graph_id string, cluster_id int, cluster_name string, alias string")
+    hub = p.degrees.where("alias = 'h'")
+    labels = components.connected(p.degrees, p.pairs, hub)
+    assert {(r["cluster_id"], r["parts"]) for r in plans.cluster_parts(p, members, labels, hub).collect()} == {(1, 2), (2, 2), (3, 1)}
