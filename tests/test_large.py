@@ -11,7 +11,7 @@ from graphs import clique, tables
 from pyspark.sql import functions as F
 
 from lattica import session
-from lattica.operators import bfs, community, components, graph
+from lattica.operators import bfs, community, components, graph, refine
 from lattica.options import SplitOptions
 from lattica.plans import partition as plans
 
@@ -181,3 +181,36 @@ def test_parts_of_clusters(spark):
     hub = p.degrees.where("alias = 'h'")
     labels = components.connected(p.degrees, p.pairs, hub)
     assert {(r["cluster_id"], r["parts"]) for r in plans.cluster_parts(p, members, labels, hub).collect()} == {(1, 2), (2, 2), (3, 1)}
+
+
+def _stars_of(copies, seed):
+    """Random components with twigs, so that refinement leaves nodes to misc; and a seed or two in each."""
+    rng = random.Random(seed)
+    edges, seeds = [], []
+    for c in range(copies):
+        names = [f"{chr(97 + rng.randrange(26))}{c:02}x{k:02}" for k in range(30)]
+        edges += [(names[k], names[rng.randrange(max(1, k // 3 + 1))]) for k in range(1, 30)] + [(rng.choice(names), rng.choice(names)) for _ in range(12)]
+        seeds += rng.sample(names, 2)
+    return edges, tuple(seeds)
+
+
+@pytest.mark.parametrize(("copies", "seed", "shared"), [(12, 1, True), (12, 2, True), (12, 3, True), (2, 4, None)])
+def test_components_that_share_misc_take_a_task_each(spark, monkeypatch, copies, seed, shared):
+    """Seeds: the rows are those of one task for all components, and no round looks at all links; where misc has room when a component asks, rounds do."""
+    edges, seeds = _stars_of(copies, seed)
+    p = tables(spark, edges)
+    split = lambda n: plans.partition_by_seeds(*p, SplitOptions(strategy="seeds", seeds=seeds, max_size=6, min_size=3, hub_threshold=99, hub_out_threshold=99, one_task_nodes=n))
+    whole = split(100_000)
+    rounds = []
+    monkeypatch.setattr(plans, "_refined_by_rounds", lambda *a, f=plans._refined_by_rounds: (rounds.append(1), f(*a))[1])
+    apart = split(40)
+    assert got(apart.membership) == got(whole.membership)
+    assert got(apart.decisions) == got(whole.decisions)
+    assert whole.membership.where("cluster_name = 'misc'").count() or shared is None
+    assert shared is None or bool(rounds) != shared
+
+
+def test_misc_without_room_holds():
+    assert refine.shared_holds([(1, "a"), (2, "b"), (3, "c")], [(2, "c")], 4)
+    assert not refine.shared_holds([(1, "a"), (2, "b"), (3, "c")], [(2, "a")], 4)
+    assert not refine.shared_holds([(2, "b")], [(2, "b")], 3)
