@@ -14,6 +14,7 @@ from lattica import session
 from lattica.operators import bfs, community, components, graph, refine
 from lattica.options import SplitOptions
 from lattica.plans import partition as plans
+from lattica.sources import adapters
 
 
 def some(spark, n=60, m=75, seed=3):
@@ -214,3 +215,16 @@ def test_misc_without_room_holds():
     assert refine.shared_holds([(1, "a"), (2, "b"), (3, "c")], [(2, "c")], 4)
     assert not refine.shared_holds([(1, "a"), (2, "b"), (3, "c")], [(2, "a")], 4)
     assert not refine.shared_holds([(2, "b")], [(2, "b")], 3)
+
+
+def test_degrees_of_trade_are_counted_once(spark, tmp_path):
+    """Counts by key are those of the graph's own nodes, also for lines without a key or without a row of their part; and nothing else counts lines."""
+    lines = [(1, 1), (1, 2), (2, 1), (1, 1), (None, 2), (3, None), (9, 9)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"s{k}") for k in (1, 2, 3, 4)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k, f"part {k}") for k in (1, 2, 3)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    classes, relations = adapters.trade(spark, str(tmp_path))
+    counted, lines, degrees = adapters.trade_counted(spark, str(tmp_path))
+    assert got(counted) == got(classes) and got(lines) == got(relations)
+    assert got(degrees) == got(graph.nodes(classes, relations))
+    assert degrees.columns == graph.nodes(classes, relations).columns and not any("lineitem" in f for f in degrees.inputFiles() + counted.inputFiles())
