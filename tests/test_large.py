@@ -1,6 +1,7 @@
 """What large graphs need: both ways of searching and labelling agree, and little is written down."""
 
 import random
+import tracemalloc
 from functools import reduce
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from graphs import clique, tables
 from pyspark.sql import functions as F
 
 from lattica import session
-from lattica.operators import bfs, community, components, graph, refine
+from lattica.operators import bfs, community, components, graph, packed, refine
 from lattica.options import SplitOptions
 from lattica.plans import partition as plans
 from lattica.sources import adapters
@@ -228,3 +229,61 @@ def test_degrees_of_trade_are_counted_once(spark, tmp_path):
     assert got(counted) == got(classes) and got(lines) == got(relations)
     assert got(degrees) == got(graph.nodes(classes, relations))
     assert degrees.columns == graph.nodes(classes, relations).columns and not any("lineitem" in f for f in degrees.inputFiles() + counted.inputFiles())
+
+
+@pytest.mark.parametrize("step", [7, 50, 1_000_000])
+def test_packed_clusters_are_those_of_tables(monkeypatch, step):
+    monkeypatch.setattr(packed, "STEP", step)
+    monkeypatch.setattr(packed, "LONG", min(step, 8))
+    monkeypatch.setattr(packed, "FEW", 0 if step == 7 else 4)
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        n, m = int(r.integers(2, 90)), int(r.integers(1, 400))
+        u = r.integers(0, n, m)
+        v = r.integers(0, n, m) if seed % 3 else np.minimum(u // 9 * 9 + r.integers(0, 9, m), n - 1)
+        u, v = np.minimum(u, v)[u != v], np.maximum(u, v)[u != v]
+        aliases = sorted({f"{'PS'[i % 2]}{i}" for i in range(n)}, key=str.encode)
+        names = {a: ("Ab" if i % 3 else "CdEf") + f"X{i % 7}y" * (i % 5 > 0) for i, a in enumerate(aliases)}
+        out = {a: int(r.integers(0, 4)) for a in aliases}
+        tables = community.ArrayGraph(aliases, u, v, out, names, 25)
+        rows = pa.concat_arrays([packed.chunks(u[k::3], v[k::3]) for k in range(3)])
+        local = packed.PackedGraph([packed.pairs_of(rows)], pa.array(aliases), np.array([out[a] for a in aliases]), pa.array([names[a] for a in aliases]), 25)
+        for strategy in ("louvain", "leiden", "prefix", "auto"):
+            label, called = local.strategy(strategy)
+            assert tables.strategy(strategy)(aliases) == [(called[k].as_py(), [aliases[i] for i in np.flatnonzero(label == k)]) for k in range(len(called))]
+        assert local.decisions == tables.decisions
+
+
+def test_packed_links_take_few_bytes(monkeypatch):
+    """Tables of weights take over a hundred bytes a link, and made a component's task fail by memory."""
+    monkeypatch.setattr(packed, "STEP", 20_000)
+    monkeypatch.setattr(packed, "SWEEPS", 2)
+    r = np.random.default_rng(1)
+    n, m = 10_000, 300_000
+    u, v = r.integers(0, n // 20, m), r.integers(n // 20, n, m)
+    aliases = pa.array([f"n{k:05}" for k in range(n)])
+    tracemalloc.start()
+    local = packed.PackedGraph(np.array_split(np.column_stack([u, v]).astype(np.int32), 30), aliases, np.zeros(n, np.int64), aliases, 25)
+    assert tracemalloc.get_traced_memory()[1] < 40 * m
+    tracemalloc.reset_peak()
+    packed.local_moving(local.graph, 2 * m)
+    assert tracemalloc.get_traced_memory()[1] < 20 * m
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("strategy", ["louvain", "leiden", "auto"])
+def test_wide_components_are_split_as_others(spark, monkeypatch, strategy):
+    rng = random.Random(5)
+    halves = []
+    for g in ("g", "h"):
+        edges = [(f"{c}{rng.randrange(60)}", f"{c}{rng.randrange(60)}") for c in "ab" for _ in range(150)] + [("x", "y")]
+        halves.append(tables(spark, edges + edges[:9], names={f"a{k}": f"Ab{'CD'[k % 2]}e" for k in range(60)}, graph_id=g))
+    p = plans.prepare(*(reduce(lambda x, y: x.unionByName(y), t) for t in zip(*halves, strict=True)))
+    gone = p.degrees.where("alias IN ('a1', 'b2')")
+    whole = plans.component_clusters(p, gone, SplitOptions(strategy=strategy))
+    # Components of more than no nodes and 150 links, counted with those that hubs have, are wide, others aren't.
+    for wide in (0, 155):
+        monkeypatch.setattr(plans, "WIDE", wide)
+        packed_too = plans.component_clusters(p, gone, SplitOptions(strategy=strategy, one_task_nodes=0))
+        assert got(packed_too[0]) == got(whole[0])
+        assert got(packed_too[1]) == got(whole[1])
